@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TRADE = "s string, t bigint, p string, q string, T bigint"
+# Trade payload columns. The payload's ``T`` is named trade_time: column names ignore case.
+TRADE = ("s", "t", "p", "q", "trade_time")
 KAFKA_COLUMNS = (
     "key binary, value binary, topic string, partition int, offset bigint, timestamp timestamp, "
     "timestampType int"
@@ -44,31 +45,31 @@ def unwrap(value: Column) -> Column:
 
 def trades(messages: DataFrame, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Raw trade messages to ticks; rows whose numbers do not parse are dropped."""
-    payload = F.from_json(unwrap(F.col(value)), TRADE)
-    return normalize(messages.select(*keep, payload.alias("_p")).select(*keep, "_p.*"), keep)
+    cells = F.json_tuple(unwrap(F.col(value)), "s", "t", "p", "q", "T").alias(*TRADE)
+    return normalize(messages.select(*keep, cells), keep)
 
 
 def normalize(payloads: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Trade payload columns (s, t, p, q, T) to ticks with their trade id."""
+    """Trade payload columns to ticks with their trade id."""
     ticks = payloads.select(
         *keep,
         F.col("s").alias("symbol"),
         F.col("p").try_cast("double").alias("price"),
         F.col("q").try_cast("double").alias("volume"),
-        F.col("`T`").cast("bigint").alias("ts"),
-        F.col("t").cast("bigint").alias("trade_id"),
+        F.col("trade_time").try_cast("bigint").alias("ts"),
+        F.col("t").try_cast("bigint").alias("trade_id"),
     )
     return ticks.dropna(subset=["symbol", "price", "volume", "ts", "trade_id"])
 
 
 def rest_payload(rows: DataFrame) -> DataFrame:
-    """Polled trades (symbol, id, price, qty, time) in the pushed trade's shape."""
+    """Polled trades (symbol, id, price, qty, time) in the pushed trade's columns."""
     return rows.select(
         F.col("symbol").alias("s"),
         F.col("id").alias("t"),
         F.col("price").alias("p"),
         F.col("qty").alias("q"),
-        F.col("time").alias("T"),
+        F.col("time").alias("trade_time"),
     )
 
 
