@@ -37,7 +37,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 HORIZON = 3600
-AS_OF = "1995-06-30"
+AS_OF = "1998-12-31"
 STRATEGIES = ("momentum", "sentiment_llm", "deep_analysis", "ensemble")
 
 
@@ -145,6 +145,7 @@ def by_name(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.score_rows(wide.drop("_made"))
 
 
+BY_NAME = ("volume_up", "volume_down", "always_up")
 OUTCOME_ORDER = ("scored_trade_id", "pred_trade_id")
 
 
@@ -454,15 +455,15 @@ def newest_alerts(spark, folder):
 
 @query
 def standings_snapshots(spark, folder):
-    taken = L.snapshots(cut(by_name(spark, folder)), ["volume_up", "volume_down", "always_up"], block_rows=5_000)
+    taken = L.snapshots(cut(by_name(spark, folder)), BY_NAME, block_rows=5_000)
     return rounded(taken.drop("mae", "calibration_gap"))
 
 
 @query
 def recent_outcomes(spark, folder):
-    stored = by_name(spark, folder).withColumn(
-        "id", F.col("pred_trade_id") * 3 + F.length("strategy_id") % 3
-    )
+    names = F.array(*[F.lit(n) for n in BY_NAME])
+    place = F.array_position(names, F.col("strategy_id"))
+    stored = by_name(spark, folder).withColumn("id", F.col("pred_trade_id") * 3 + place - 1)
     return rounded(lake.recent_outcomes(stored).select("id", "strategy_id", "scored_ts", "hit", "abs_error"))
 
 
@@ -574,21 +575,21 @@ def bars_until(spark, folder):
 
 @query
 def bars_between(spark, folder):
-    kept = B.between(A.bars(spark, folder), "1994-01-01", "1994-12-31")
+    kept = B.between(A.bars(spark, folder), "1997-01-01", "1997-12-31")
     return B.rounded(kept).withColumn("date", F.col("date").cast("string"))
 
 
 @query
 def bar_staleness(spark, folder):
     lags = A.bars(spark, folder).filter(F.length("symbol") % 2 == 0)
-    old = A.bars(spark, folder).filter((F.length("symbol") % 2 == 1) & (F.col("date") < "1995-06-01"))
+    old = A.bars(spark, folder).filter((F.length("symbol") % 2 == 1) & (F.col("date") < "1998-11-15"))
     both = B.until(lags.unionByName(old), AS_OF)
     return B.staleness(both, AS_OF).withColumn("latest", F.col("latest").cast("string"))
 
 
 @query
 def fresh_bars(spark, folder):
-    old = A.bars(spark, folder).filter((F.length("symbol") % 2 == 0) | (F.col("date") < "1995-06-01"))
+    old = A.bars(spark, folder).filter((F.length("symbol") % 2 == 0) | (F.col("date") < "1998-11-15"))
     kept = B.fresh(B.until(old, AS_OF), AS_OF)
     return kept.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
 
@@ -754,7 +755,8 @@ def top_markets(spark, folder):
 @query
 def top_markets_overall(spark, folder):
     rows = markets.explode_markets(A.market_events(spark, folder)).withColumn(
-        "event_pos", F.col("event_pos") + 1000 * F.crc32("topic") % 1_000_000
+        "event_pos",
+        F.col("event_pos") + 1000 * F.regexp_extract("topic", r"(\d+)", 1).cast("int"),
     )
     return rounded(markets.top_markets(rows, F.lit(NOW).cast("timestamp"), 25))
 
@@ -770,22 +772,22 @@ def reports_until(spark, folder):
 
 @query
 def statement_periods(spark, folder):
-    years = [str(y) for y in range(1992, 1999)]
+    years = [str(y) for y in range(1995, 2002)]
     wide = A.orders(spark, folder).withColumn("y", F.year("date").cast("string")).groupBy("symbol").pivot(
         "y", years
     ).agg(F.round(F.sum("o_totalprice"), 2))
     named = wide.select("symbol", *[F.col(f"`{y}`").alias(f"{y}-12-31") for y in years])
-    return rounded(statements.periods_until(statements.statement_long(named, ["symbol"]), AS_OF), 1)
+    return rounded(statements.periods_until(statements.statement_long(named, ["symbol"]), AS_OF), 2)
 
 
 @query
 def statement_display(spark, folder):
-    years = [f"{y}-12-31" for y in range(1992, 1996)]
+    years = [f"{y}-12-31" for y in range(1995, 1999)]
     long = A.orders(spark, folder).groupBy(
         "symbol", F.concat(F.year("date"), F.lit("-12-31")).alias("period")
     ).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
-    wide = statements.statement_wide(statements.periods_until(long, "1995-12-31"), ["symbol"], years)
-    return rounded(wide.select("symbol", *[F.col(f"`{y}`").alias(f"y{y[:4]}") for y in years]), 1)
+    wide = statements.statement_wide(statements.periods_until(long, "1998-12-31"), ["symbol"], years)
+    return rounded(wide.select("symbol", *[F.col(f"`{y}`").alias(f"y{y[:4]}") for y in years]), 2)
 
 
 @query
