@@ -15,9 +15,9 @@ def r(x: str, places: int = 6) -> str:
     return f"(round({x}, {places}) + 0.0)"
 
 
-def ticks(symbol: str = "event_type") -> str:
+def ticks(symbol: str = "event_type", price: str = "value") -> str:
     return f"""tk AS (
-  SELECT CAST({symbol} AS VARCHAR) AS symbol, value AS price,
+  SELECT CAST({symbol} AS VARCHAR) AS symbol, {price} AS price,
          CAST(json_extract_string(props, '$.k') AS DOUBLE) AS volume,
          (epoch_us(ts) // 1000) AS ts, event_id AS trade_id, user_id
   FROM events)"""
@@ -26,9 +26,9 @@ def ticks(symbol: str = "event_type") -> str:
 TK = ticks()
 
 
-def feats(symbol: str = "event_type") -> str:
+def feats(symbol: str = "event_type", price: str = "value") -> str:
     """CTEs that end in ``f``: one feature row per tick, step by step as a stream would."""
-    return f"""{ticks(symbol)},
+    return f"""{ticks(symbol, price)},
 n AS (
   SELECT *, row_number() OVER w AS rn, lag(price) OVER w AS prev,
          sum(price * volume) OVER w AS pv, sum(volume) OVER w AS cv
@@ -193,7 +193,7 @@ FROM documents""")
 
 oracle("feature_rows", f"WITH RECURSIVE {FEATS} SELECT symbol, ts, trade_id, {ROUNDED_FEATURES} FROM f")
 oracle("feature_rows_by_user",
-       f"WITH RECURSIVE {feats('user_id')} SELECT symbol, ts, trade_id, {ROUNDED_FEATURES} FROM f")
+       f"WITH RECURSIVE {feats('user_id', 'value * 1000.0 / 997.0')} SELECT symbol, ts, trade_id, {ROUNDED_FEATURES} FROM f")
 PRESENT = "concat_ws(',', " + ", ".join(
     f"CASE WHEN {c} IS NOT NULL THEN '{c}' END" for c in FEATURE_NAMES) + ")"
 oracle("feature_messages", f"""
