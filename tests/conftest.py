@@ -12,7 +12,7 @@ from marketgrade.session import build_session, ship_package  # noqa: E402
 def spark(tmp_path_factory):
     session = build_session(
         "local[8]",
-        spark__sql__shuffle__partitions="4",
+        spark__sql__shuffle__partitions="2",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
