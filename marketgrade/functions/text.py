@@ -61,14 +61,16 @@ BODY_END = "<!-- SC_ON -->"
 def html_to_text(content: Column) -> Column:
     """Plain text of an HTML fragment; only what lies between the body markers if both exist.
 
-    Tags are removed in the JVM; entity decoding is the one step without a built-in.
+    Tags are removed in the JVM; entity decoding is the one step without a built-in, and only
+    texts with an ampersand are sent to it.
     """
     content = F.coalesce(content, F.lit(""))
     marked = content.contains(BODY_START) & content.contains(BODY_END)
     after = F.get(F.split(content, BODY_START), F.lit(1))
     body = F.when(marked, F.get(F.split(after, BODY_END), F.lit(0))).otherwise(content)
     bare = F.regexp_replace(body, r"<[^>]+>", " ")
-    spaced = F.regexp_replace(_unescape(bare), r"(?U)[\s\x1c-\x1f]+", " ")
+    decoded = F.coalesce(_unescape(F.when(bare.contains("&"), bare)), bare)
+    spaced = F.regexp_replace(decoded, r"(?U)[\s\x1c-\x1f]+", " ")
     return F.trim(spaced)
 
 

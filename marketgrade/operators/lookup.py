@@ -1,0 +1,23 @@
+"""Joining a large table to a small dimension."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 100_000
+
+
+def lookup(
+    rows: DataFrame, dimension: DataFrame, keys: Sequence[str], how: str = "left",
+    limit: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Equi join that broadcasts the dimension only after counting that it is small.
+
+    The count stops at ``limit`` rows. A larger dimension is joined by shuffle, where adaptive
+    execution splits the partitions of a hot key.
+    """
+    small = dimension.limit(limit + 1).count() <= limit
+    return rows.join(F.broadcast(dimension) if small else dimension, list(keys), how)

@@ -19,6 +19,7 @@ from ..functions.scoring import clamp
 from ..functions.text import last_json_object
 from .asof import asof_join
 from .features import FEATURES, tick_line
+from .lookup import lookup
 from .timeline import HOUR_MS, fill, previous
 
 log = logging.getLogger(__name__)
@@ -306,7 +307,7 @@ def verdict_lookup(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
         F.col("confidence").alias("verdict_confidence"),
     )
     return (
-        rows.join(table, "symbol", "left")
+        lookup(rows, table, ["symbol"])
         .withColumn("verdict_yhat", F.coalesce("verdict_yhat", F.lit(0.0)))
         .withColumn("verdict_confidence", F.coalesce("verdict_confidence", F.lit(0.0)))
     )
