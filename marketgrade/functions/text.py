@@ -30,9 +30,18 @@ def last_json_object(text: Column) -> Column:
 
 def narrative(text: Column) -> Column:
     """A briefing without its closing JSON verdict."""
-    return F.regexp_replace(
-        F.regexp_replace(text, r"(?U)\s*\{[^{}]*\}\s*$", ""), r"(?U)^\s+|\s+$", ""
-    )
+    return strip(F.regexp_replace(text, r"(?U)\s*\{[^{}]*\}\s*$", ""))
+
+
+def strip(text: Column) -> Column:
+    """Text without white space at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def utc_text(seconds: Column, pattern: str) -> Column:
+    """Epoch seconds as UTC text, whatever the session's time zone."""
+    epoch = F.expr("timestamp_ntz '1970-01-01 00:00:00'")
+    return F.date_format(F.timestamp_add("SECOND", seconds, epoch), pattern)
 
 
 def labelled_count(summary: Column, label: str) -> Column:
@@ -43,7 +52,7 @@ def labelled_count(summary: Column, label: str) -> Column:
 
 def excerpt(text: Column, limit: int) -> Column:
     """One line of at most ``limit`` characters, with an ellipsis when shortened."""
-    line = F.trim(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" ")))
+    line = strip(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" ")))
     return F.when(
         F.length(line) > limit, F.concat(F.substring(line, 1, limit), F.lit(ELLIPSIS))
     ).otherwise(line)

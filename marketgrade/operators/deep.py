@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import clamp
 from ..functions.text import last_json_object, narrative
+from ..session import cut
 from .features import summary_text
 from .strategies import DEEP_CAP, Model, ask, neutral_model
 
@@ -74,12 +75,15 @@ def synthesis_prompt() -> Column:
 
 
 def analyze(contexts: DataFrame, ts: Column, model: Model = neutral_model, horizon_s: int = HORIZON_S) -> DataFrame:
-    """Three readings and one synthesis per symbol to a view; a symbol whose calls fail is left out."""
+    """Three readings and one synthesis per symbol to a view; a symbol whose calls fail is left out.
+
+    The views are written out at once, so that later readers do not ask the model again.
+    """
     notes = ask(contexts, market_prompt(), model, "_market")
     notes = ask(notes, sentiment_prompt(), model, "_crowd")
     notes = ask(notes, news_prompt(), model, "_news")
     notes = notes.dropna(subset=["_market", "_crowd", "_news"])
-    return views_from_briefings(ask(notes, synthesis_prompt(), model, "briefing"), ts, horizon_s)
+    return cut(views_from_briefings(ask(notes, synthesis_prompt(), model, "briefing"), ts, horizon_s))
 
 
 def views_from_briefings(briefings: DataFrame, ts: Column, horizon_s: int = HORIZON_S) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import accuracy, mae, stats
+from ..session import cut
 from .timeline import BLOCK_ROWS, HOUR_MS, Timeline, blocks, fill, number
 
 WINDOW = 200
@@ -62,10 +63,10 @@ def ranked(standing: DataFrame) -> DataFrame:
 def _rolled(outcomes: DataFrame, window: int, width: int, block_rows: int):
     line = Timeline(("strategy_id",), SCORING_ORDER, width)
     numbered = number(outcomes, line, "seq")
-    cut = blocks(numbered, ["strategy_id"], "seq", before=window, rows=block_rows)
-    frame = cut.window.rowsBetween(-(window - 1), 0)
+    part = blocks(numbered, ["strategy_id"], "seq", before=window, rows=block_rows)
+    frame = part.window.rowsBetween(-(window - 1), 0)
     hit = F.col("hit").cast("double")
-    rows = cut.rows.withColumns(
+    rows = part.rows.withColumns(
         {
             "n": F.count(F.lit(1)).over(frame),
             "dir_acc": F.avg(hit).over(frame),
@@ -73,15 +74,15 @@ def _rolled(outcomes: DataFrame, window: int, width: int, block_rows: int):
             "mean_confidence": F.avg("confidence").over(frame),
         }
     )
-    return cut, rows
+    return part, rows
 
 
 def rolling(
     outcomes: DataFrame, window: int = WINDOW, width: int = HOUR_MS, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Each outcome with its strategy's statistics over the last ``window`` outcomes."""
-    cut, rows = _rolled(outcomes, window, width, block_rows)
-    return cut.finish(rows).withColumn("calibration_gap", F.col("mean_confidence") - F.col("dir_acc"))
+    part, rows = _rolled(outcomes, window, width, block_rows)
+    return part.finish(rows).withColumn("calibration_gap", F.col("mean_confidence") - F.col("dir_acc"))
 
 
 def alerts(
@@ -97,11 +98,11 @@ def alerts(
     ``seq + 1`` outcomes have been seen, so a strategy becomes eligible once and stays so;
     an alert is an eligible row below the floor whose predecessor was not one.
     """
-    cut, rows = _rolled(outcomes, window, width, block_rows)
+    part, rows = _rolled(outcomes, window, width, block_rows)
     enough = F.least(F.col("seq") + 1, F.lit(window)) >= min_samples
     below = enough & (F.col("dir_acc") < floor)
     rows = rows.withColumn("_below", below).withColumn(
-        "_was_below", F.coalesce(F.lag("_below").over(cut.window), F.lit(False))
+        "_was_below", F.coalesce(F.lag("_below").over(part.window), F.lit(False))
     )
     message = F.format_string(
         "%s directional accuracy %.0f%% over last %d (< %.0f%%)",
@@ -110,7 +111,7 @@ def alerts(
         F.col("n"),
         F.lit(float(floor * 100)),
     )
-    fired = cut.finish(rows.filter(F.col("_below") & ~F.col("_was_below")))
+    fired = part.finish(rows.filter(F.col("_below") & ~F.col("_was_below")))
     return fired.select(
         F.lit("*").alias("symbol"),
         F.lit("accuracy_degradation").alias("kind"),
@@ -138,11 +139,14 @@ def snapshots(
     everything = Timeline((), (*SCORING_ORDER, "_position"), width)
     numbered = number(outcomes.withColumn("_position", position), everything, "at")
     rolled = rolling(numbered, window, width, block_rows)
-    measured = rolled.select(
-        "strategy_id",
-        "at",
-        F.lit(0).alias("_side"),
-        F.struct("n", "dir_acc", "mae", "mean_confidence", "calibration_gap").alias("_stat"),
+    # Cut, because the fill below reads the rolling frames in two branches.
+    measured = cut(
+        rolled.select(
+            "strategy_id",
+            "at",
+            F.lit(0).alias("_side"),
+            F.struct("n", "dir_acc", "mae", "mean_confidence", "calibration_gap").alias("_stat"),
+        )
     )
     due = numbered.filter(F.pmod(F.col("at") + 1, F.lit(every)) == 0).select(
         F.explode(F.array(*[F.lit(s) for s in strategies])).alias("strategy_id"),

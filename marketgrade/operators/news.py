@@ -37,16 +37,23 @@ def article_fields(article: str) -> list[Column]:
     ]
 
 
-def first_by_title(articles: DataFrame) -> DataFrame:
-    """First article of each title by (query, position); blank titles are dropped.
+def title_key(article: str) -> Column:
+    """The title articles are compared by; a flat article without one has a blank key."""
+    nested = F.col(f"{article}.content").isNotNull()
+    inside = F.coalesce(F.col(f"{article}.content.title"), F.lit("No title"))
+    return F.when(nested, inside).otherwise(F.coalesce(F.col(f"{article}.title"), F.lit("")))
+
+
+def first_by_title(articles: DataFrame, key: str = "title_key") -> DataFrame:
+    """First article of each title key by (query, position); blank keys are dropped.
 
     The minimum is found by partial aggregation, so a title repeated over a large share of
     the rows reaches the shuffle once per task.
     """
     row = F.struct(*articles.columns)
-    kept = articles.filter(F.coalesce(F.col("title"), F.lit("")) != "")
+    kept = articles.filter(F.coalesce(F.col(key), F.lit("")) != "")
     return (
-        kept.groupBy(F.col("title").alias("_title"))
+        kept.groupBy(F.col(key).alias("_title"))
         .agg(F.min_by(row, F.struct("query", "position")).alias("_row"))
         .select("_row.*")
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import excerpt, labelled_count
+from ..functions.text import excerpt, labelled_count, utc_text
 
 MESSAGE_LIMIT = 30
 MESSAGE_CHARS = 280
@@ -108,7 +108,7 @@ def source_report(posts: DataFrame, sources: DataFrame, limit: int = POST_LIMIT)
     kept = newest(
         posts, ["source"], [F.col("published").desc_nulls_last(), F.col("post_id").asc()], limit
     )
-    date = F.coalesce(F.date_format(F.timestamp_seconds("published"), "yyyy-MM-dd"), F.lit("?"))
+    date = F.coalesce(utc_text(F.col("published"), "yyyy-MM-dd"), F.lit("?"))
     body = excerpt(F.col("body"), POST_CHARS)
     line = F.concat(
         F.lit("["), date, F.lit("] "),

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.scoring import clamp
 from ..functions.text import last_json_object
+from ..session import cut
 from .asof import asof_join
 from .features import FEATURES, tick_line
 from .lookup import lookup
@@ -278,10 +279,13 @@ def sentiment_verdicts(features: DataFrame, signals: Signals, horizon_s: int = 6
             ),
         )
     else:
-        runs = verdict_runs(rows, signals.width)
+        # Cut, because several branches read both, and a model must be asked only once.
+        runs = cut(verdict_runs(rows, signals.width))
         heads = ask(runs.filter("head"), sentiment_prompt(horizon_s), signals.model, "_reply")
-        verdicts = heads.select(
-            "symbol", "ts", "trade_id", parsed_verdict(F.col("_reply"), FAST_CAP).alias("_got")
+        verdicts = cut(
+            heads.select(
+                "symbol", "ts", "trade_id", parsed_verdict(F.col("_reply"), FAST_CAP).alias("_got")
+            )
         )
         joined = runs.join(verdicts, ["symbol", "ts", "trade_id"], "left")
         held = F.when(F.col("head"), F.struct(F.col("_got").alias("v")))

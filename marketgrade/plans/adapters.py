@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import utc_text
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -147,7 +149,7 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
         F.struct(F.lit("").alias("url")).alias("clickThroughUrl"),
         F.when(
             F.col("doc_id") % 7 != 0,
-            F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+            utc_text(seconds, "yyyy-MM-dd'T'HH:mm:ss'Z'"),
         ).alias("pubDate"),
     )
     return doc.select(

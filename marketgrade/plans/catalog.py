@@ -248,7 +248,7 @@ def source_atom_entries(spark, folder):
     safe = F.regexp_replace("title", "[^A-Za-z0-9 ]", "")
     entry = F.concat(
         F.lit("<entry><title>"), safe, F.lit("</title><published>"),
-        F.coalesce(F.date_format(F.timestamp_seconds("published"), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("not a date")),
+        F.coalesce(text.utc_text(F.col("published"), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("not a date")),
         F.lit("</published><content type=\"html\">&lt;b&gt;Post&lt;/b&gt; "), F.col("post_id"),
         F.lit(" &amp;amp; more</content></entry>"),
     )
@@ -696,6 +696,13 @@ def extracted(spark, folder):
     return A.articles(spark, folder).select("query", "position", *news.article_fields("article"))
 
 
+def keyed(spark, folder):
+    rows = A.articles(spark, folder)
+    return rows.select(
+        "query", "position", *news.article_fields("article"), news.title_key("article").alias("title_key")
+    )
+
+
 @query
 def article_fields(spark, folder):
     return extracted(spark, folder)
@@ -703,13 +710,13 @@ def article_fields(spark, folder):
 
 @query
 def articles_by_title(spark, folder):
-    return news.first_by_title(extracted(spark, folder)).select("query", "position", "title")
+    return news.first_by_title(keyed(spark, folder)).select("query", "position", "title")
 
 
 @query
 def first_articles(spark, folder):
     """The first articles in de-dup order, then those of them inside the window."""
-    kept = news.first_articles(news.first_by_title(extracted(spark, folder)), 100)
+    kept = news.first_articles(news.first_by_title(keyed(spark, folder)), 100)
     start, end, now = (F.lit(x) for x in (1_704_412_800, 1_706_140_800, 1_706_227_200))
     return kept.filter(news.in_window(F.col("published"), start, end, now)).select(
         "query", "position", "published"

@@ -152,7 +152,7 @@ def test_sentiment_snapshot_counts_placeholders_as_sources(spark):
 
 def test_news_and_macro(spark):
     arts = spark.createDataFrame([(0, 1, "t", 5), (0, 0, "t", 6), (1, 0, "", 7), (1, 1, "u", 8)], "query int, position int, title string, published bigint")
-    assert sorted(r.published for r in news.first_by_title(arts).collect()) == [6, 8]
+    assert sorted(r.published for r in news.first_by_title(arts, "title").collect()) == [6, 8]
     inside = lambda p, now: one(spark, news.in_window(F.lit(p).cast("bigint"), F.lit(0), F.lit(86_400), F.lit(now)))
     assert inside(172_800, 10**9) and not inside(172_801, 10**9)
     assert inside(None, 172_800) and not inside(None, 172_801)
