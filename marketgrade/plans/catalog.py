@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,8 +30,9 @@ from ..operators import features as FX
 from ..operators import leaderboard as L
 from ..operators.timeline import DAY_MS
 from ..schemas import decode, encode
-from ..session import cut, ship_package
+from ..session import ROCKSDB, checkpoint_root, cut, ship_package
 from ..sources import feeds, lake, payloads
+from ..streaming import jobs
 from . import adapters as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -499,14 +501,7 @@ def flattened_messages(spark, folder):
 @query
 def lake_round_trip(spark, folder):
     """Write outcomes to the partitioned lake, read them with a fixed schema, and backtest."""
-    import tempfile
-
-    from ..session import checkpoint_root
-
-    base = checkpoint_root(spark) if spark.conf.get("spark.checkpoint.dir", None) else None
-    import uuid
-
-    root = f"{base.rstrip('/')}/lake-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="lake-")
+    root = f"{checkpoint_root(spark).rstrip('/')}/lake-{uuid.uuid4().hex}"
     scored = by_name(spark, folder).select(*evaluate.OUTCOME_COLUMNS)
     routed = lake.route(scored.withColumn("topic", F.lit("scores.out"))).drop("topic", "dataset")
     lake.write_dataset(routed, root, "outcomes")
@@ -1028,3 +1023,72 @@ def latest_forecasts(spark, folder):
 def price_history(spark, folder):
     made = A.ticks(spark, folder).select("symbol", "ts", "trade_id", F.floor("price").cast("double").alias("ref_price"))
     return live.price_history(made)
+
+
+# ---- streams ---------------------------------------------------------------------------------
+
+
+def tick_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The events table as a file stream of ticks."""
+    schema = A.table(spark, folder, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{folder}/events*.parquet")
+    return events.select(
+        F.col("event_type").alias("symbol"),
+        A.epoch_ms(F.col("ts").cast("timestamp_ntz")).alias("ts"),
+        F.col("event_id").alias("trade_id"),
+        F.col("value").alias("price"),
+        F.get_json_object("props", "$.k").cast("double").alias("volume"),
+    )
+
+
+def drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """Run a stream over what its source holds now and return what it wrote.
+
+    Output and stream checkpoint go to the shared checkpoint folder.
+    """
+    base = f"{checkpoint_root(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKSDB)
+    try:
+        writer = jobs.to_table(stream, f"{base}/out", f"{base}/checkpoint")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+@query
+def stream_dedup(spark, folder):
+    """Every trade arrives again eleven places later."""
+    arrival = F.explode(F.array(F.col("trade_id") * 2, F.col("trade_id") * 2 + 11))
+    replayed = tick_stream(spark, folder).withColumn("arrival", arrival)
+    return drained(spark, jobs.dedup(replayed)).select("symbol", "trade_id", "price")
+
+
+@query
+def stream_features(spark, folder):
+    return rounded(drained(spark, jobs.features(tick_stream(spark, folder))))
+
+
+def stream_scored(spark: SparkSession, folder: str) -> DataFrame:
+    ticks = tick_stream(spark, folder)
+    made = ticks.select(
+        "symbol", "ts", "trade_id", F.lit(HORIZON).alias("horizon_s"),
+        ((F.col("volume") - 50.0) / 1000.0).alias("yhat"),
+        (F.col("volume") / 100.0).alias("confidence"), F.lit("volume_up").alias("strategy_id"),
+        F.lit("v0").alias("model_ver"), F.col("price").alias("ref_price"),
+    )
+    return jobs.outcomes(made, ticks.withColumnRenamed("price", "last_price"))
+
+
+@query
+def stream_outcomes(spark, folder):
+    return rounded(drained(spark, stream_scored(spark, folder)))
+
+
+@query
+def stream_standings(spark, folder):
+    """Two stateful steps in one stream: scores, then rolling standings of the strategy."""
+    rows = drained(spark, jobs.leaderboard(stream_scored(spark, folder)))
+    return rounded(rows.select("strategy_id", "scored_ts", "seq", "n", "dir_acc", "mean_confidence"))

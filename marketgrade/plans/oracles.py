@@ -615,3 +615,16 @@ WITH {TK}, fl AS (SELECT symbol, ts, trade_id, floor(price) AS ref_price FROM tk
 c AS (SELECT *, lag(ref_price) OVER (PARTITION BY symbol ORDER BY ts, trade_id) AS b FROM fl)
 SELECT symbol, ts, trade_id, ref_price FROM c WHERE b IS DISTINCT FROM ref_price AND ref_price > 0
 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, trade_id DESC) <= 60""")
+
+# ---- streams ---------------------------------------------------------------------------------
+
+oracle("stream_dedup", f"WITH {TK} SELECT symbol, trade_id, price FROM tk")
+oracle("stream_features", ORACLES["feature_rows"])
+oracle("stream_outcomes", f"""
+WITH {BY_NAME} SELECT symbol, strategy_id, CAST(3600 AS INTEGER) AS horizon_s, {r('yhat')} AS yhat,
+  {r('realized_return')} AS realized_return, hit, {r('abs_error')} AS abs_error, {r('confidence')} AS confidence,
+  {r('ref_price')} AS ref_price, {r('realized_price')} AS realized_price, pred_ts, scored_ts, 'v0' AS model_ver,
+  scored_trade_id, pred_trade_id FROM o WHERE strategy_id = 'volume_up'""")
+oracle("stream_standings", f"""
+WITH {BY_NAME}, {rolled(200)} SELECT strategy_id, scored_ts, seq, CAST(n AS INTEGER) AS n, {r('dir_acc')} AS dir_acc,
+  {r('mean_confidence')} AS mean_confidence FROM roll WHERE strategy_id = 'volume_up'""")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import os
+import sys
 import tempfile
-import zipfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def build_session(master: str | None = None, app: str = "marketgrade", **conf: str) -> SparkSession:
     """A session with the settings the engine relies on; extra keywords override them.
@@ -19,9 +21,7 @@ def build_session(master: str | None = None, app: str = "marketgrade", **conf: s
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.streaming.stateStore.providerClass": (
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-        ),
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     builder = SparkSession.builder.appName(app)
@@ -58,20 +58,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application.
+    """Make functions and processors of this package travel inside the tasks that use them.
 
-    Not needed where it is installed on every node.
+    Not needed where the package is installed on every node. Files added to the application
+    would not reach the stream runner on the driver, so the code is pickled by value instead.
     """
-    sc = spark.sparkContext
-    if getattr(sc, "_marketgrade_shipped", False):
-        return
-    here = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="marketgrade-"), "marketgrade.zip")
-    with zipfile.ZipFile(target, "w") as archive:
-        for folder, _, names in os.walk(here):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    archive.write(path, os.path.relpath(path, os.path.dirname(here)))
-    sc.addPyFile(target)
-    sc._marketgrade_shipped = True
+    package = sys.modules[__name__.partition(".")[0]]
+    if package.__name__ not in cloudpickle.list_registry_pickle_by_value():
+        cloudpickle.register_pickle_by_value(package)
