@@ -1075,7 +1075,7 @@ def stream_scored(spark: SparkSession, folder: str) -> DataFrame:
     ticks = tick_stream(spark, folder)
     made = ticks.select(
         "symbol", "ts", "trade_id", F.lit(HORIZON).alias("horizon_s"),
-        ((F.col("volume") - 50.0) / 1000.0).alias("yhat"),
+        ((F.col("volume") - 50.0) / 997.0).alias("yhat"),
         (F.col("volume") / 100.0).alias("confidence"), F.lit("volume_up").alias("strategy_id"),
         F.lit("v0").alias("model_ver"), F.col("price").alias("ref_price"),
     )

@@ -621,8 +621,8 @@ QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, trade_id DESC)
 oracle("stream_dedup", f"WITH {TK} SELECT symbol, trade_id, price FROM tk")
 oracle("stream_features", ORACLES["feature_rows"])
 oracle("stream_outcomes", f"""
-WITH {BY_NAME} SELECT symbol, strategy_id, CAST(3600 AS INTEGER) AS horizon_s, {r('yhat')} AS yhat,
-  {r('realized_return')} AS realized_return, hit, {r('abs_error')} AS abs_error, {r('confidence')} AS confidence,
+WITH {BY_NAME} SELECT symbol, strategy_id, CAST(3600 AS INTEGER) AS horizon_s, {r('(volume - 50.0) / 997.0')} AS yhat,
+  {r('realized_return')} AS realized_return, hit, {r('abs((volume - 50.0) / 997.0 - realized_return)')} AS abs_error, {r('confidence')} AS confidence,
   {r('ref_price')} AS ref_price, {r('realized_price')} AS realized_price, pred_ts, scored_ts, 'v0' AS model_ver,
   scored_trade_id, pred_trade_id FROM o WHERE strategy_id = 'volume_up'""")
 oracle("stream_standings", f"""
