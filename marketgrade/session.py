@@ -1,9 +1,9 @@
-"""Session set-up and the one place where lineage is cut."""
+"""Session set-up, shared scratch folders and the places where lineage is cut."""
 
 from __future__ import annotations
 
 import sys
-import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -33,18 +33,29 @@ def build_session(master: str | None = None, app: str = "marketgrade", **conf: s
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only if unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where the cluster names none, a folder under ``spark.sql.warehouse.dir``, which all
+    executors share as well; never a folder of one machine.
+    """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(configured)
-        return configured
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="marketgrade-ckpt-"))
+    if not configured:
         current = sc._jsc.sc().getCheckpointDir()
-    return current.get()
+        if current.isDefined():
+            return current.get()
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(configured)
+    return configured
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared checkpoint folder, removed when the session's JVM ends."""
+    folder = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -57,6 +68,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """As ``cut``, but as a compressed Parquet table, of which later reads take only the columns they need."""
+    spark = df.sparkSession
+    folder = scratch_folder(spark, name)
+    df.write.option("compression", "zstd").parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make functions and processors of this package travel inside the tasks that use them.
 
