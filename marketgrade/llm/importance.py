@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,13 +16,16 @@ from ..session import stored
 from .common import arrow_schema, as_batch, fresh, with_field
 
 #: Slots of the hashed n-gram models.
-SLOTS = 1 << 14
+SLOTS = 1 << 16
+#: Pseudo-counts a slot, spread as in the raw text, that steady the target model.
+PRIOR = 64
 #: Labelled rows, at most, that choose the target text and the accepted share.
 LABELLED_ROWS = 20_000
 #: How much more a lost clean document weighs than a kept bad one.
 CLEAN_WEIGHT = 4.0
 SEED = 20_240
 
+_TOKEN = re.compile(r"\w+|[^\w\s]+")
 _MIX, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -34,8 +38,11 @@ class Model:
 
 
 def ngram_slots(text: str | None, known: dict[str, int], slots: int = SLOTS) -> np.ndarray:
-    """Slots of the words and word pairs of a text; ``known`` keeps the hashes of words seen."""
-    words = (text or "").lower().split()
+    """Slots of the tokens and token pairs of a text; ``known`` keeps the hashes of tokens seen.
+
+    Tokens are runs of word characters and runs of marks; case is kept, as shouting tells.
+    """
+    words = _TOKEN.findall(text or "")
     if len(known) > 1_000_000:
         known.clear()
     hashes = np.empty(len(words), np.uint64)
@@ -92,11 +99,13 @@ def fit(
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, raw[at], target[at])], names=["slot", "raw", "target"])
 
     counts = rows.mapInArrow(count, "slot long, raw long, target long").groupBy("slot").agg(F.sum("raw"), F.sum("target")).collect()
-    raw, target = np.ones(slots), np.ones(slots)
+    raw, target = np.ones(slots), np.zeros(slots)
     for slot, n, m in counts:
         raw[slot] += n
         target[slot] += m
-    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    raw = raw / raw.sum()
+    target += PRIOR * slots * raw
+    ratio = np.log(target / target.sum()) - np.log(raw)
     if len({v > 0 for k, v in label.items() if not teaches(k)}) < 2:
         return Model(ratio, -np.inf)
 
