@@ -7,15 +7,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from .common import with_field
 
 KEY = ["source", "lang", "version"]
 #: A change: the document, its group, the operation (insert, revise, delete) and its counts.
-CHANGE = StructType.fromDDL("doc_id long, source string, lang string, version string, op string, n_tokens long, n_chars long")
-_LEDGER = StructType.fromDDL("doc_id long, source string, lang string, version string, sign int, n_tokens long, n_chars long")
-_DELTA = StructType.fromDDL("source string, lang string, version string, n_docs long, n_tokens long, n_chars long")
+CHANGE = "doc_id long, source string, lang string, version string, op string, n_tokens long, n_chars long"
+_LEDGER = "doc_id long, source string, lang string, version string, sign int, n_tokens long, n_chars long"
+_DELTA = "source string, lang string, version string, n_docs long, n_tokens long, n_chars long"
+_LIVE = ["doc_id", *KEY, "n_tokens", "n_chars"]
 
 
 def bpe_counts(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", count_col: str = "n_tokens") -> DataFrame:
@@ -95,14 +95,13 @@ class TokenRollup:
         self._files.create(self._path(f"{self.folder}/commits/{batch}"), False).close()
         return True
 
-    def _read(self, part: str, schema: StructType) -> DataFrame:
+    def _read(self, part: str, schema: str) -> DataFrame:
         folders = [f"{self.folder}/batches/{b}/{part}" for b in self.committed()]
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
     def ledger(self) -> DataFrame:
         """The live rows (doc_id, source, lang, version, n_tokens, n_chars): those not taken back."""
-        columns = [f.name for f in _LEDGER if f.name != "sign"]
-        return self._read("ledger", _LEDGER).groupBy(*columns).agg(F.sum("sign").alias("live")).where("live > 0").select(*columns)
+        return self._read("ledger", _LEDGER).groupBy(*_LIVE).agg(F.sum("sign").alias("live")).where("live > 0").select(*_LIVE)
 
     def totals(self) -> DataFrame:
         """Rows (source, lang, version, n_docs, n_tokens, n_chars) of all groups with documents."""
