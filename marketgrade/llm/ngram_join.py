@@ -64,9 +64,10 @@ def classes(
        Equal sets share one representative.
     2. Prefix filter: two linked sets must share so many hashes of those parts. Hashes that one
        set alone holds rule most sets out; the rest keep their rarest shared hashes.
-    3. Sets that share hashes are laid together in blocks of bounded size; pairs of blocks with
-       a hash in common are joined, each in one task, by a prefix tree (see ``tree_links``).
-       It returns a spanning set of links, so a group of copies never becomes all its pairs.
+    3. Sets that share hashes are laid together in blocks of bounded size. Each block, and the
+       sets of two blocks that share hashes across them, is joined in one task by a prefix tree
+       (see ``tree_links``), which returns a spanning set of links, so a group of copies never
+       becomes all its pairs.
     4. The links' connected components are the classes. Every link is found; none is capped.
 
     The id must be a whole number. A null or empty text has the empty set and links with
@@ -88,7 +89,7 @@ def classes(
     return named.join(found, F.col("first") == F.col("node"), "left").select(
         F.col("id").alias(id_col),
         F.col("size").cast("long").alias("n_shingles"),
-        F.when(F.col("size") > 0, F.coalesce("component", "first")).otherwise(F.col("id")).alias("component"),
+        F.when(F.col("id").isNotNull() & (F.col("size") > 0), F.coalesce("component", "first")).otherwise(F.col("id")).alias("component"),
     )
 
 
@@ -176,15 +177,13 @@ def _blocks(routed: DataFrame, block_shingles: int) -> DataFrame:
 
 
 def _tasks(routed: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Rows (a, b, id, side): each block with itself and with the blocks that share a hash with it."""
-    held = routed.select("id", "token").join(blocks, "id").select("token", "block").distinct()
-    other = held.withColumnRenamed("block", "other")
-    pairs = held.join(other, "token").where("block < other").select(F.col("block").alias("a"), F.col("other").alias("b")).distinct()
-    alone = blocks.select(F.col("block").alias("a"), F.col("block").alias("b")).distinct()
-    tasks = stored(pairs.union(alone), "tasks")
-    left = tasks.join(blocks, F.col("a") == F.col("block")).select("a", "b", "id", F.lit(0).alias("side"))
-    right = tasks.where("a <> b").join(blocks, F.col("b") == F.col("block")).select("a", "b", "id", F.lit(1).alias("side"))
-    return left.union(right)
+    """Rows (a, b, id, side): each block as a whole, and the sets of two blocks that share hashes with the other one."""
+    held = stored(routed.select("id", "token").join(blocks, "id"), "held")
+    places = held.select("token", F.col("block").alias("other")).distinct()
+    spread = places.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    across = held.join(spread, "token").join(places, "token").where("block <> other")
+    across = across.selectExpr("least(block, other) AS a", "greatest(block, other) AS b", "id", "int(block > other) AS side").distinct()
+    return blocks.selectExpr("block AS a", "block AS b", "id", "0 AS side").union(across)
 
 
 def _sets(docs: DataFrame, blocks: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
