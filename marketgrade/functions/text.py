@@ -14,8 +14,18 @@ ELLIPSIS = "…"
 FLAT_OBJECT = r"\{(?:[^{}\"]++|\"(?:[^\"\\]++|\\.)*+\")*+\}"
 
 
+def _fields(text: Column) -> Column:
+    """The fields of a flat JSON object as text, the last value where a key is repeated."""
+    return F.from_json(text, "map<string,string>")
+
+
 def _is_object(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
+    return _fields(text).isNotNull()
+
+
+def verdict_number(verdict: Column, field: str) -> Column:
+    """A number of a JSON verdict, written with or without quotes; null for anything else."""
+    return _fields(verdict)[field].try_cast("double")
 
 
 def last_json_object(text: Column) -> Column:
@@ -41,7 +51,7 @@ def strip(text: Column) -> Column:
 def utc_text(seconds: Column, pattern: str) -> Column:
     """Epoch seconds as UTC text, whatever the session's time zone."""
     epoch = F.expr("timestamp_ntz '1970-01-01 00:00:00'")
-    return F.date_format(F.timestamp_add("SECOND", seconds, epoch), pattern)
+    return F.date_format(F.timestamp_add("SECOND", seconds.cast("bigint"), epoch), pattern)
 
 
 def labelled_count(summary: Column, label: str) -> Column:
@@ -83,9 +93,31 @@ def html_to_text(content: Column) -> Column:
     return F.trim(spaced)
 
 
+# A full date, with or without dashes; then, if at all, a time with or without colons and a zone.
+_ISO = (
+    r"^(\d{4})(-?)(\d{2})\2(\d{2})"
+    r"(?:[T ](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,9}))?)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+)
+
+
+def iso_timestamp(text: Column) -> Column:
+    """ISO timestamp text to a timestamp with its fraction; null for other forms, such as a bare year or time.
+
+    Text without a zone is in the session's time zone.
+    """
+    part = lambda i: F.regexp_extract(text, _ISO, i)
+    or_zero = lambda i: F.when(part(i) == "", F.lit("00")).otherwise(part(i))
+    zone = F.regexp_replace(part(9), r"^([+-]\d{2})(\d{2})$", "$1:$2")
+    plain = F.concat(
+        part(1), F.lit("-"), part(3), F.lit("-"), part(4), F.lit("T"), or_zero(5), F.lit(":"), or_zero(6), F.lit(":"), or_zero(7),
+        F.lit("."), F.rpad(F.substring(part(8), 1, 6), 6, "0"), zone,
+    )
+    return F.when(text.rlike(_ISO), F.try_to_timestamp(plain))
+
+
 def iso_epoch(text: Column) -> Column:
     """ISO timestamp text to epoch seconds, null when it does not parse."""
-    return F.unix_timestamp(F.try_to_timestamp(text))
+    return F.unix_micros(iso_timestamp(text)) / 1e6
 
 
 def json_list(text: Column) -> Column:

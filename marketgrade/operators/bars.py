@@ -14,9 +14,9 @@ from .timeline import BLOCK_ROWS, Timeline, blocks, fill_columns, number
 PRICES = ("open", "high", "low", "close", "volume")
 MAX_STALE_DAYS = 10
 YEAR_DAYS = 365
-NOT_TRADING = "N/A: Not a trading day (weekend or holiday)"
 
-# Supported indicators, and the ones a verified snapshot shows.
+# The text of a day without trading, supported indicators, and the ones a verified snapshot shows.
+NOT_TRADING = "N/A: Not a trading day (weekend or holiday)"
 INDICATORS = (
     "close_50_sma", "close_200_sma", "close_10_ema", "macd", "macds", "macdh", "rsi", "boll",
     "boll_ub", "boll_lb", "atr", "vwma", "mfi",
@@ -168,7 +168,7 @@ def indicator_calendar(
     ``value`` is text rounded to six places: "N/A" where a trading day has no value.
     """
     if indicator not in INDICATORS:
-        raise ValueError(f"Indicator {indicator} is not supported, choose from {INDICATORS}")
+        raise ValueError(f"no indicator is named {indicator!r}; known: {', '.join(INDICATORS)}")
     end = F.lit(date).cast("date")
     days = symbols.select("symbol").distinct().select(
         "symbol", F.explode(F.sequence(F.date_sub(end, look_back), end)).alias("date")

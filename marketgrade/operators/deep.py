@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import clamp
-from ..functions.text import last_json_object, narrative
+from ..functions.text import last_json_object, narrative, verdict_number
 from ..session import cut
 from .features import summary_text
 from .strategies import DEEP_CAP, Model, ask, neutral_model
@@ -89,13 +89,13 @@ def analyze(contexts: DataFrame, ts: Column, model: Model = neutral_model, horiz
 def views_from_briefings(briefings: DataFrame, ts: Column, horizon_s: int = HORIZON_S) -> DataFrame:
     """Briefing texts that end in a JSON verdict to views; texts without one are left out."""
     text = last_json_object(F.col("briefing"))
-    data = F.from_json(text, "stance string, yhat double, confidence double")
+    stance = F.from_json(text, "map<string,string>")["stance"]
     zero = F.lit(0.0)
     return briefings.filter(text.isNotNull()).select(
         "symbol",
-        F.coalesce(data["stance"], F.lit("neutral")).alias("stance"),
-        clamp(F.coalesce(data["yhat"], zero), -DEEP_CAP, DEEP_CAP).alias("yhat"),
-        clamp(F.coalesce(data["confidence"], zero), 0.0, 1.0).alias("confidence"),
+        F.coalesce(stance, F.lit("neutral")).alias("stance"),
+        clamp(F.coalesce(verdict_number(text, "yhat"), zero), -DEEP_CAP, DEEP_CAP).alias("yhat"),
+        clamp(F.coalesce(verdict_number(text, "confidence"), zero), 0.0, 1.0).alias("confidence"),
         F.lit(horizon_s).alias("horizon_s"),
         ts.alias("ts"),
         narrative(F.col("briefing")).alias("briefing_md"),

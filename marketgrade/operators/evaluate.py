@@ -9,6 +9,7 @@ from ..functions.scoring import realized_return, sign, target_ts
 from .asof import asof_join
 from .timeline import HOUR_MS
 
+# The columns of an outcome record.
 OUTCOME_COLUMNS = (
     "symbol", "strategy_id", "horizon_s", "yhat", "realized_return", "hit", "abs_error",
     "confidence", "ref_price", "realized_price", "pred_ts", "scored_ts", "model_ver",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import json_list
+from ..functions.text import iso_timestamp, json_list
 from .sentiment import newest
 
 LIMIT = 6
@@ -28,7 +28,7 @@ def explode_markets(events: DataFrame, column: str = "events") -> DataFrame:
 
 def is_forward_looking(now: Column) -> Column:
     """Open, not past its end date (an unreadable date passes), with prices and outcomes."""
-    ends = F.try_to_timestamp(F.nullif(F.col("endDate"), F.lit("")))
+    ends = iso_timestamp(F.col("endDate"))
     return (
         ~F.coalesce(F.col("closed"), F.lit(False))
         & (ends.isNull() | (ends >= now))

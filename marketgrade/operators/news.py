@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import iso_epoch
 from .sentiment import newest
 
 ARTICLE = (
@@ -26,7 +27,7 @@ def article_fields(article: str) -> list[Column]:
         return F.coalesce(F.when(nested, inside).otherwise(flat), F.lit(default))
 
     url = F.coalesce(c("content.canonicalUrl"), c("content.clickThroughUrl"))["url"]
-    dated = F.unix_timestamp(F.try_to_timestamp(c("content.pubDate")))
+    dated = iso_epoch(c("content.pubDate")).cast("bigint")
     flat_time = F.when(c("providerPublishTime") != 0, c("providerPublishTime"))
     return [
         either(c("content.title"), c("title"), "No title").alias("title"),

@@ -16,11 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scoring import clamp
-from ..functions.text import last_json_object
+from ..functions.text import last_json_object, verdict_number
 from ..session import cut
 from .asof import asof_join
 from .features import FEATURES, tick_line
-from .lookup import lookup
 from .timeline import HOUR_MS, fill, previous
 
 log = logging.getLogger(__name__)
@@ -247,14 +246,12 @@ def _safe_replies(model: Model, prompts: pd.Series) -> pd.Series:
 
 def parsed_verdict(reply: Column, cap: float) -> Column:
     """The closing JSON verdict of a reply, clamped; null when there is none."""
-    data = F.from_json(
-        last_json_object(reply), "stance string, yhat double, confidence double"
-    )
+    yhat, confidence = (verdict_number(last_json_object(reply), name) for name in ("yhat", "confidence"))
     return F.when(
-        data["yhat"].isNotNull() & data["confidence"].isNotNull(),
+        yhat.isNotNull() & confidence.isNotNull(),
         F.struct(
-            clamp(data["yhat"], -cap, cap).alias("yhat"),
-            clamp(data["confidence"], 0.0, 1.0).alias("confidence"),
+            clamp(yhat, -cap, cap).alias("yhat"),
+            clamp(confidence, 0.0, 1.0).alias("confidence"),
         ),
     )
 
@@ -311,7 +308,7 @@ def verdict_lookup(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
         F.col("confidence").alias("verdict_confidence"),
     )
     return (
-        lookup(rows, table, ["symbol"])
+        rows.join(table, ["symbol"], "left")
         .withColumn("verdict_yhat", F.coalesce("verdict_yhat", F.lit(0.0)))
         .withColumn("verdict_confidence", F.coalesce("verdict_confidence", F.lit(0.0)))
     )

@@ -124,7 +124,7 @@ def by_name(spark: SparkSession, folder: str) -> DataFrame:
         A.ticks(spark, folder).select(
             "symbol", "ts", "trade_id", F.lit(HORIZON).alias("horizon_s"),
             F.col("price").alias("ref_price"),
-            F.get_json_object(F.to_json(F.struct("volume")), "$.volume").cast("double").alias("volume"),
+            "volume",
         ),
         prices(spark, folder),
     )
@@ -920,9 +920,13 @@ def summary_labels(spark, folder):
 
 @query
 def iso_times(spark, folder):
-    stamp = F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss")
-    e = F.col("event_id")
-    shown = F.when(e % 3 == 0, F.concat(stamp, F.lit("Z"))).when(e % 3 == 1, F.concat(stamp, F.lit("+02:00"))).otherwise("yesterday")
+    shape = lambda pattern: F.date_format(F.col("ts"), pattern)
+    stamp = shape("yyyy-MM-dd'T'HH:mm:ss")
+    forms = [
+        F.concat(stamp, F.lit("Z")), F.concat(stamp, F.lit("+02:00")), F.lit("yesterday"), shape("yyyy"), shape("yyyy-MM"), shape("HH:mm"),
+        shape("yyyyMMdd'T'HHmmss"), shape("yyyy-MM-dd HH:mm:ss.SSS"), F.concat(shape("yyyy-MM-dd'T'HH:mm"), F.lit("-0130")), shape("yyyy-MM-dd"),
+    ]
+    shown = F.get(F.array(*forms), F.col("event_id") % len(forms))
     return A.table(spark, folder, "events").select("event_id", text.iso_epoch(shown).alias("epoch"))
 
 
@@ -998,16 +1002,16 @@ def chronological_index(spark, folder):
 
 @query
 def walk_forward_accuracy(spark, folder):
-    """Five expanding folds with a small ensemble; the default ensemble has 120 trees."""
+    """Five expanding folds, each with a fit of its own."""
     names = ["view", "click", "purchase", "signup", "error"]
     indexed = learning.pooled_index(training_rows(spark, folder), names)
-    return learning.walk_forward(indexed, trees=3)
+    return learning.walk_forward(indexed)
 
 
 @query
 def classifier_forecasts(spark, folder):
     ready = cut(features(spark, folder))
-    model = learning.fit(learning.labelled(ready), trees=3)
+    model = learning.fit(learning.labelled(ready))
     return strategies.classifier(ready, strategies.Signals(classifier=model))
 
 

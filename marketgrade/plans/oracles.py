@@ -186,7 +186,7 @@ oracle("source_atom_entries", """
 SELECT source, doc_id AS post_id,
   trim(regexp_replace(split_part(text, chr(10), 1), '[^A-Za-z0-9 ]', '', 'g')) AS title,
   'Post ' || doc_id || ' & more' AS body,
-  CASE WHEN doc_id % 11 <> 0 THEN 1704067200 + (doc_id * 7919) % 2592000 END AS published
+  CAST(CASE WHEN doc_id % 11 <> 0 THEN 1704067200 + (doc_id * 7919) % 2592000 END AS DOUBLE) AS published
 FROM documents""")
 
 # ---- features --------------------------------------------------------------------------------
@@ -573,7 +573,9 @@ oracle("marked_page_text", f"""
 WITH t AS (SELECT page_id, {plain('html')} AS x FROM pages)
 SELECT page_id, CAST(length(x) AS INTEGER) AS n, substring(x, 1, 6) AS start FROM t""")
 oracle("iso_times", """
-SELECT event_id, CASE event_id % 3 WHEN 0 THEN (epoch_us(ts) // 1000) // 1000 WHEN 1 THEN (epoch_us(ts) // 1000) // 1000 - 7200 END AS epoch FROM events""")
+WITH e AS (SELECT event_id, epoch_us(ts) // 1000000 AS s, epoch_us(ts) // 1000 AS ms FROM events)
+SELECT event_id, CAST(CASE event_id % 10 WHEN 0 THEN s WHEN 1 THEN s - 7200 WHEN 6 THEN s WHEN 7 THEN ms / 1000.0
+  WHEN 8 THEN s - s % 60 + 5400 WHEN 9 THEN s - s % 86400 END AS DOUBLE) AS epoch FROM e""")
 oracle("excerpts", """
 WITH d AS (SELECT doc_id, trim(replace(text, chr(10), ' ')) AS x FROM documents)
 SELECT doc_id, CASE WHEN length(x) > 280 THEN substring(x, 1, 280) || '…' ELSE x END AS excerpt FROM d""")

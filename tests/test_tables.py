@@ -139,6 +139,9 @@ def test_text_helpers(spark):
     assert one(spark, text.excerpt(F.lit("a\nbc"), 2)) == "a " + text.ELLIPSIS
     assert one(spark, text.html_to_text(F.lit("<p>no</p><!-- SC_OFF --><b>a</b>&nbsp;&lt;b&gt;<!-- SC_ON -->no"))) == "a <b>"
     assert one(spark, text.iso_epoch(F.lit("1970-01-01T00:01:00Z"))) == 60
+    assert one(spark, text.iso_epoch(F.lit("19700101T000100.250+0000"))) == 60.25
+    for other in ("1970", "1970-01", "00:01", "1970-01-01T00:01:00.", "1970-13-01", ""):
+        assert one(spark, text.iso_epoch(F.lit(other))) is None
     assert one(spark, text.json_list(F.lit("junk"))) == []
 
 
