@@ -16,9 +16,9 @@ from ..session import stored
 from .common import arrow_schema, as_batch, fresh, with_field
 
 #: Slots of the hashed n-gram models.
-SLOTS = 1 << 16
-#: Pseudo-counts a slot, spread as in the raw text, that steady the target model.
-PRIOR = 64
+SLOTS = 1 << 15
+#: Share of the raw model in the target model, which bounds the ratio where the target has seen little.
+RAW_SHARE = 0.4
 #: Labelled rows, at most, that choose the target text and the accepted share.
 LABELLED_ROWS = 20_000
 #: How much more a lost clean document weighs than a kept bad one.
@@ -55,9 +55,9 @@ def ngram_slots(text: str | None, known: dict[str, int], slots: int = SLOTS) ->
     return ((np.concatenate([hashes, pairs]) * _MIX >> np.uint64(33)) % np.uint64(slots)).astype(np.int64)
 
 
-def teaches(key) -> bool:
-    """Whether a labelled document belongs to the half that makes the target model."""
-    return zlib.crc32(str(key).encode()) % 2 == 0
+def half_of(key) -> int:
+    """The half, 0 or 1, that a labelled document belongs to."""
+    return zlib.crc32(str(key).encode()) % 2
 
 
 def sample_labels(labels: DataFrame, id_col: str, label_col: str, rows: int) -> dict:
@@ -79,42 +79,41 @@ def fit(
     """The n-gram models of the good labelled documents and of all documents.
 
     The raw model counts every document; the target model and the cut use at most
-    ``labelled_rows`` labels, half of them for each. The cut is the log weight that best parts
-    the held-out labelled documents, a lost good one weighing ``CLEAN_WEIGHT`` times a kept bad
-    one. Without a good and a bad one among them there is nothing to part: the cut accepts
-    everything.
+    ``labelled_rows`` labels. The cut is the log weight that best parts the labelled documents,
+    a lost good one weighing ``CLEAN_WEIGHT`` times a kept bad one. For that, each labelled
+    document is weighed by a target model of the half that it is not in. Without a good and a
+    bad label there is nothing to part: the cut accepts everything.
     """
     label = sample_labels(labels, id_col, label_col, labelled_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target, known = np.zeros(slots, np.int64), np.zeros(slots, np.int64), {}
+        raw, target, known = np.zeros(slots, np.int64), np.zeros((2, slots), np.int64), {}
         for batch in batches:
             for key, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
                 seen = np.bincount(ngram_slots(text.as_py(), known, slots), minlength=slots)
                 raw += seen
-                if label.get(key, 0) > 0 and teaches(key):
-                    target += seen
+                if label.get(key, 0) > 0:
+                    target[half_of(key)] += seen
         at = np.nonzero(raw)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, raw[at], target[at])], names=["slot", "raw", "target"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, raw[at], target[0, at], target[1, at])], names=["slot", "raw", "a", "b"])
 
-    counts = rows.mapInArrow(count, "slot long, raw long, target long").groupBy("slot").agg(F.sum("raw"), F.sum("target")).collect()
-    raw, target = np.ones(slots), np.zeros(slots)
-    for slot, n, m in counts:
+    counts = rows.mapInArrow(count, "slot long, raw long, a long, b long").groupBy("slot").agg(F.sum("raw"), F.sum("a"), F.sum("b"))
+    raw, target = np.ones(slots), np.zeros((2, slots))
+    for slot, n, a, b in counts.collect():
         raw[slot] += n
-        target[slot] += m
-    raw = raw / raw.sum()
-    target += PRIOR * slots * raw
-    ratio = np.log(target / target.sum()) - np.log(raw)
-    if len({v > 0 for k, v in label.items() if not teaches(k)}) < 2:
+        target[:, slot] = a, b
+    ratio = log_ratio(target[0] + target[1], raw)
+    if len({v > 0 for v in label.values()}) < 2:
         return Model(ratio, -np.inf)
+    others = [log_ratio(target[1], raw), log_ratio(target[0], raw)]
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in batches:
-            keys = batch.column("id").to_pylist()
-            held = [i for i, k in enumerate(keys) if k in label and not teaches(k)]
-            found = [(label[keys[i]] > 0, float(ratio[ngram_slots(batch.column("text")[i].as_py(), known, slots)].sum())) for i in held]
+            held = [(i, k) for i, k in enumerate(batch.column("id").to_pylist()) if k in label]
+            text = batch.column("text")
+            found = [(label[k] > 0, float(others[half_of(k)][ngram_slots(text[i].as_py(), known, slots)].sum())) for i, k in held]
             if found:
                 yield as_batch(found, arrow_schema(good=pa.bool_(), weight=pa.float64()))
 
@@ -122,6 +121,12 @@ def fit(
     return Model(ratio, best_cut(np.array([r.weight for r in seen]), np.array([r.good for r in seen], bool)))
 
 
+def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Log ratio, by slot, of the target model, in which the raw one has its share, to the raw model."""
+    raw = raw / raw.sum()
+    return np.log((1 - RAW_SHARE) * target / max(target.sum(), 1) + RAW_SHARE * raw) - np.log(raw)
+
+
 def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
     """The cut with the largest CLEAN_WEIGHT * (share of good kept) + (share of bad rejected)."""
     if good.all() or not good.any():
