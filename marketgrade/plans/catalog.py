@@ -238,9 +238,7 @@ def source_authored_signals(spark, folder):
             F.struct(F.lit("bullish").alias("stance"), F.lit(0.01).alias("yhat")),
         ).alias("deep"),
     )
-    files = verdicts.agg(
-        F.map_from_entries(F.collect_list(F.struct("symbol", entry.alias("e")))).alias("signals")
-    ).select(F.to_json(F.struct("signals")).alias("value"))
+    files = verdicts.select(F.to_json(F.struct(F.create_map("symbol", entry).alias("signals"))).alias("value"))
     return rounded(payloads.authored_signals(files))
 
 
