@@ -96,6 +96,19 @@ def with_fold(indexed: DataFrame, n: int, splits: int = 5) -> DataFrame:
     return indexed.withColumn("fold", F.when(tested, fold))
 
 
+def fold_sizes(indexed: DataFrame, n: int, splits: int = 5) -> DataFrame:
+    """Rows and rising rows that each fold trains on and tests (fold, trained, trained_up, tested, tested_up)."""
+    bounds = F.array(*[F.struct(F.lit(k).alias("fold"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in enumerate(fold_bounds(n, splits), 1)])
+    rows = indexed.select("pos", "label", F.explode(bounds).alias("f")).where(F.col("pos") < F.col("f.b"))
+    training, up = F.col("pos") < F.col("f.a"), F.col("label") == 1
+    return rows.groupBy(F.col("f.fold").alias("fold")).agg(
+        F.count_if(training).alias("trained"),
+        F.count_if(training & up).alias("trained_up"),
+        F.count_if(~training).alias("tested"),
+        F.count_if(~training & up).alias("tested_up"),
+    )
+
+
 def fit(rows: DataFrame, columns: Sequence[str] = FEATURE_ORDER, trees: int = TREES) -> PipelineModel:
     """Gradient-boosted trees on the label."""
     return Pipeline(
@@ -174,9 +187,3 @@ def load_model(spark, path: str) -> tuple[PipelineModel, list[str], str, dict]:
         f"{path}/about"
     ).first()
     return PipelineModel.load(f"{path}/model"), about.columns, about.model_ver, json.loads(about.metrics)
-
-
-__all__ = [
-    "FEATURE_ORDER", "feature_values", "fit", "fold_bounds", "labelled", "load_model",
-    "mean_accuracy", "pooled_index", "save_model", "up_probability", "walk_forward", "with_fold",
-]

@@ -175,6 +175,19 @@ def source_trade_messages(spark, folder):
     return payloads.trades(trade_messages(spark, folder))
 
 
+@query
+def source_trade_quarantine(spark, folder):
+    """Messages of which every seventh has a price in words and every eleventh is cut short."""
+    value = F.col("value").cast("string")
+    damaged = F.when(F.col("offset") % 7 == 0, F.regexp_replace(value, '"p":"[^"]*"', '"p":"dear"'))
+    damaged = damaged.when(F.col("offset") % 11 == 0, F.substring(value, 1, 12)).otherwise(value)
+    messages = trade_messages(spark, folder).withColumn("value", damaged)
+    good, bad = payloads.split_trades(messages, keep=("offset",))
+    return good.select("offset", "price", F.lit(None).cast("string").alias("text")).union(
+        bad.select("offset", F.lit(None).cast("double"), F.substring("value", 1, 12))
+    )
+
+
 @query
 def source_rest_trades(spark, folder):
     ticks = A.ticks(spark, folder)
@@ -991,6 +1004,14 @@ def pooled_folds(spark, folder):
     return learning.with_fold(indexed, indexed.count()).select("symbol", "ts", "trade_id", "pos", "fold")
 
 
+@query
+def walk_forward_folds(spark, folder):
+    """What each expanding fold trains on and tests, without the fit."""
+    names = ["view", "click", "purchase", "signup", "error"]
+    indexed = cut(learning.pooled_index(training_rows(spark, folder), names).select("pos", "label"))
+    return learning.fold_sizes(indexed, indexed.count())
+
+
 @query
 def chronological_index(spark, folder):
     names = ["view", "click", "purchase", "signup", "error"]

@@ -173,6 +173,11 @@ WITH {TK} SELECT trade_id, symbol, CAST(60 AS INTEGER) AS horizon_s, {r('price /
 FROM tk WHERE trade_id % 10 <> 0""")
 oracle("decode_quarantine", f"WITH {TK} SELECT trade_id, symbol FROM tk WHERE trade_id % 10 = 0")
 
+oracle("source_trade_quarantine", f"""
+WITH {TK}, m AS (SELECT trade_id, price, trade_id % 7 = 0 OR trade_id % 11 = 0 AS bad,
+  CASE WHEN trade_id % 3 = 0 THEN '{{{{"stream":"t' ELSE '{{{{"e":"trade"' END AS text FROM tk)
+SELECT trade_id AS "offset", CASE WHEN NOT bad THEN price END AS price, CASE WHEN bad THEN text END AS text FROM m""".replace("{{", "{"))
+
 oracle("source_authored_signals", f"""
 WITH {SENT}, {VERDICTS}
 SELECT symbol, CASE WHEN symbol <> 'view' THEN {r('vy')} ELSE 0.0 END AS yhat,
@@ -609,6 +614,13 @@ oracle("pooled_folds", f"""
 WITH RECURSIVE {LABELS},
 i AS (SELECT *, row_number() OVER (ORDER BY {ORDERED_NAMES}, ts, trade_id) - 1 AS pos, count(*) OVER () // 6 AS fs FROM lab)
 SELECT symbol, ts, trade_id, pos, CASE WHEN pos // fs BETWEEN 1 AND 5 THEN pos // fs END AS fold FROM i""")
+oracle("walk_forward_folds", f"""
+WITH RECURSIVE {LABELS},
+i AS (SELECT *, row_number() OVER (ORDER BY {ORDERED_NAMES}, ts, trade_id) - 1 AS pos, count(*) OVER () // 6 AS fs FROM lab),
+k AS (SELECT unnest([1, 2, 3, 4, 5]) AS fold)
+SELECT fold, count(*) FILTER (WHERE pos < fs * fold) AS trained, count(*) FILTER (WHERE pos < fs * fold AND label = 1) AS trained_up,
+  count(*) FILTER (WHERE pos >= fs * fold) AS tested, count(*) FILTER (WHERE pos >= fs * fold AND label = 1) AS tested_up
+FROM i JOIN k ON pos < fs * (fold + 1) GROUP BY fold""")
 oracle("chronological_index", f"""
 WITH RECURSIVE {LABELS} SELECT symbol, ts, trade_id,
   row_number() OVER (ORDER BY ts, trade_id, {ORDERED_NAMES}) - 1 AS pos FROM lab""")

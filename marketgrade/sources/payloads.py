@@ -43,15 +43,37 @@ def unwrap(value: Column) -> Column:
     return F.coalesce(F.get_json_object(value.cast("string"), "$.data"), value.cast("string"))
 
 
+TICK = ["symbol", "price", "volume", "ts", "trade_id"]
+
+
 def trades(messages: DataFrame, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Raw trade messages to ticks; rows whose numbers do not parse are dropped."""
+    """Raw trade messages to ticks, without those that ``split_trades`` quarantines."""
+    return split_trades(messages, value, keep)[0]
+
+
+def split_trades(
+    messages: DataFrame, value: str = "value", keep: tuple[str, ...] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """Raw trade messages to ticks, and the messages that lack a field or whose numbers do not parse.
+
+    Bad messages are returned with their text, not raised.
+    """
     cells = F.json_tuple(unwrap(F.col(value)), "s", "t", "p", "q", "T").alias(*TRADE)
-    return normalize(messages.select(*keep, cells), keep)
+    read = _ticks(messages.select(*keep, F.col(value).cast("string").alias("_text"), cells), (*keep, "_text"))
+    whole = F.lit(True)
+    for name in TICK:
+        whole = whole & F.col(name).isNotNull()
+    bad = read.where(~whole).select(*keep, F.col("_text").alias(value))
+    return read.where(whole).select(*keep, *TICK), bad
 
 
 def normalize(payloads: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Trade payload columns to ticks with their trade id."""
-    ticks = payloads.select(
+    """Trade payload columns to ticks with their trade id; rows that lack one are left out."""
+    return _ticks(payloads, keep).dropna(subset=TICK)
+
+
+def _ticks(payloads: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    return payloads.select(
         *keep,
         F.col("s").alias("symbol"),
         F.col("p").try_cast("double").alias("price"),
@@ -59,7 +81,6 @@ def normalize(payloads: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         F.col("trade_time").try_cast("bigint").alias("ts"),
         F.col("t").try_cast("bigint").alias("trade_id"),
     )
-    return ticks.dropna(subset=["symbol", "price", "volume", "ts", "trade_id"])
 
 
 def rest_payload(rows: DataFrame) -> DataFrame:
