@@ -51,7 +51,7 @@ def encode(
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    schema = f"block long, id {id_type}, places binary, shard int, at binary, words binary"
+    schema = f"block long, id {id_type}, places binary, shard int, at binary, lengths binary, words binary"
     name = f"bpe_blocks_{uuid.uuid4().hex}"
     (
         rows.mapInArrow(_block_function(pattern, width, block_chars), schema)
@@ -61,7 +61,7 @@ def encode(
         .saveAsTable(name)
     )
     blocks = spark.table(name)
-    words = blocks.where("shard IS NOT NULL").select("block", "shard", "at", "words")
+    words = blocks.where("shard IS NOT NULL").select("block", "shard", "at", "lengths", "words")
     coded = words.repartition(width, "shard").mapInArrow(_word_function(ranks), "block long, at binary, sizes binary, ids binary")
     places = blocks.where("shard IS NULL").select("block", "id", "places")
     return (
@@ -115,7 +115,7 @@ def _block_function(pattern: str, shards: int, block_chars: int):
             for key, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
                 text = text.as_py()
                 found = [known.setdefault(w, len(known)) for w in cut(text)]
-                places.append((task << 32 | number, key, np.array(found, dtype="<u4").tobytes(), None, None, None))
+                places.append((task << 32 | number, key, np.array(found, dtype="<u4").tobytes(), None, None, None, None))
                 chars += len(text)
                 if chars >= block_chars:
                     yield from in_batches(iter(places), schema)
@@ -129,7 +129,7 @@ def _block_function(pattern: str, shards: int, block_chars: int):
 
 
 def _block_schema(id_type: pa.DataType) -> pa.Schema:
-    return arrow_schema(block=pa.int64(), id=id_type, places=pa.binary(), shard=pa.int32(), at=pa.binary(), words=pa.binary())
+    return arrow_schema(block=pa.int64(), id=id_type, places=pa.binary(), shard=pa.int32(), at=pa.binary(), lengths=pa.binary(), words=pa.binary())
 
 
 def _packed(block: int, known: dict[str, int], shards: int) -> Iterator[tuple]:
@@ -140,12 +140,18 @@ def _packed(block: int, known: dict[str, int], shards: int) -> Iterator[tuple]:
     for at in np.split(order, np.nonzero(np.diff(shard[order]))[0] + 1):
         if len(at):
             own = [words[i] for i in at]
-            sizes = np.fromiter(map(len, own), dtype="<u4", count=len(own))
-            yield block, None, None, int(shard[at[0]]), _press(at.astype("<u4").tobytes()), _press(sizes.tobytes() + b"".join(own))
+            sizes = np.fromiter(map(len, own), dtype=np.uint32, count=len(own))
+            yield block, None, None, int(shard[at[0]]), _pack(np.diff(at, prepend=0)), _pack(sizes), zlib.compress(b"".join(own))
 
 
-def _press(data: bytes) -> bytes:
-    return zlib.compress(data, 1)
+def _pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers below 2**32, compressed byte by byte: all lowest bytes, then all second ones, and so on."""
+    return zlib.compress(np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
 def _word_function(ranks: dict[bytes, int]):
@@ -157,20 +163,17 @@ def _word_function(ranks: dict[bytes, int]):
         schema = arrow_schema(block=pa.int64(), at=pa.binary(), sizes=pa.binary(), ids=pa.binary())
         for batch in batches:
             rows = []
-            for block, at, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "at", "words")), strict=True):
-                data = zlib.decompress(packed)
-                n = len(zlib.decompress(at)) // 4
-                ends = 4 * n + np.cumsum(np.frombuffer(data, "<u4", n), dtype=np.int64)
-                made, start = [], 4 * n
-                for end in ends.tolist():
+            for block, at, lengths, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "at", "lengths", "words")), strict=True):
+                data, made, start = zlib.decompress(packed), [], 0
+                for end in np.cumsum(_unpack(lengths)).tolist():
                     word = data[start:end]
                     ids = known.get(word)
                     if ids is None:
                         known[word] = ids = np.array(piece(word), dtype="<u4").tobytes()
                     made.append(ids)
                     start = end
-                sizes = np.fromiter(map(len, made), dtype="<u4", count=n) // 4
-                rows.append((block, at, _press(sizes.astype("<u4").tobytes()), _press(b"".join(made))))
+                sizes = np.fromiter(map(len, made), dtype=np.uint32, count=len(made)) // 4
+                rows.append((block, at, _pack(sizes), _pack(np.frombuffer(b"".join(made), "<u4"))))
             if rows:
                 yield as_batch(rows, schema)
 
@@ -179,16 +182,16 @@ def _word_function(ranks: dict[bytes, int]):
 
 def _assemble(left: pa.Table, right: pa.Table) -> pa.Table:
     """The ids of a block's documents: each word's run of ids, taken in the order of the places."""
-    at = [np.frombuffer(zlib.decompress(x), "<u4") for x in right.column("at").to_pylist()]
+    at = [np.cumsum(_unpack(x)) for x in right.column("at").to_pylist()]
     n = sum(map(len, at))
     sizes, parts, starts, base = np.zeros(n, np.int64), [], np.zeros(n, np.int64), 0
     for where, size, ids in zip(at, right.column("sizes").to_pylist(), right.column("ids").to_pylist(), strict=True):
-        size = np.frombuffer(zlib.decompress(size), "<u4").astype(np.int64)
+        size = _unpack(size)
         sizes[where] = size
         starts[where] = base + np.cumsum(size) - size
-        parts.append(np.frombuffer(zlib.decompress(ids), "<u4"))
+        parts.append(_unpack(ids).astype(np.int32))
         base += len(parts[-1])
-    flat = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
     runs, offsets = [], [0]
     for places in left.column("places").to_pylist():
         place = np.frombuffer(places, "<u4")
