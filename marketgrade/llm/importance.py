@@ -31,7 +31,7 @@ _MIX, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Model:
-    """Log ratio of the target's to the raw text's n-gram probability, by slot, and the accepting cut."""
+    """Log ratio of the target's to the raw text's n-gram probability, by slot, and the accepting cut of a text's mean ratio."""
 
     ratio: np.ndarray
     cut: float
@@ -79,8 +79,9 @@ def fit(
     """The n-gram models of the good labelled documents and of all documents.
 
     The raw model counts every document; the target model and the cut use at most
-    ``labelled_rows`` labels. The cut is the log weight that best parts the labelled documents,
-    a lost good one weighing ``CLEAN_WEIGHT`` times a kept bad one. For that, each labelled
+    ``labelled_rows`` labels. The cut is the log weight per n-gram that best parts the labelled
+    documents, a lost good one weighing ``CLEAN_WEIGHT`` times a kept bad one; a mean is judged
+    alike in short and long texts, where a sum grows with the length. For that, each labelled
     document is weighed by a target model of the half that it is not in. Without a good and a
     bad label there is nothing to part: the cut accepts everything.
     """
@@ -113,7 +114,7 @@ def fit(
         for batch in batches:
             held = [(i, k) for i, k in enumerate(batch.column("id").to_pylist()) if k in label]
             text = batch.column("text")
-            found = [(label[k] > 0, float(others[half_of(k)][ngram_slots(text[i].as_py(), known, slots)].sum())) for i, k in held]
+            found = [(label[k] > 0, mean_weight(others[half_of(k)], ngram_slots(text[i].as_py(), known, slots))) for i, k in held]
             if found:
                 yield as_batch(found, arrow_schema(good=pa.bool_(), weight=pa.float64()))
 
@@ -127,6 +128,11 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.log((1 - RAW_SHARE) * target / max(target.sum(), 1) + RAW_SHARE * raw) - np.log(raw)
 
 
+def mean_weight(ratio: np.ndarray, at: np.ndarray) -> float:
+    """Log weight per n-gram; 0 without n-grams."""
+    return float(ratio[at].sum()) / max(len(at), 1)
+
+
 def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
     """The cut with the largest CLEAN_WEIGHT * (share of good kept) + (share of bad rejected)."""
     if good.all() or not good.any():
@@ -139,17 +145,19 @@ def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
     return float(edges[np.argmax(rejected_bad - CLEAN_WEIGHT * lost_good)])
 
 
-def weighed(docs: DataFrame, model: Model, text_col: str, weight: str) -> DataFrame:
-    """``docs`` plus the log importance weight of each text."""
-    ratio = model.ratio
+def weighed(docs: DataFrame, model: Model, text_col: str, weight: str, margin: str) -> DataFrame:
+    """``docs`` plus each text's log importance weight, and what it has above the cut of all its n-grams."""
+    ratio, cut = model.ratio, model.cut if np.isfinite(model.cut) else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in batches:
-            made = [float(ratio[ngram_slots(t.as_py(), known, len(ratio))].sum()) for t in batch.column(text_col)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], names=[*batch.schema.names, weight])
+            slots = (ngram_slots(t.as_py(), known, len(ratio)) for t in batch.column(text_col))
+            made = [(w := float(ratio[at].sum()), w - cut * len(at)) for at in slots]
+            added = [pa.array([m[i] for m in made], pa.float64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, weight, margin])
 
-    return docs.mapInArrow(run, with_field(docs.schema, weight, "double"))
+    return docs.mapInArrow(run, with_field(with_field(docs.schema, weight, "double"), margin, "double"))
 
 
 def resample(
@@ -164,9 +172,11 @@ def resample(
 ) -> DataFrame:
     """The ``k`` documents with the largest log weight plus Gumbel noise: a sample without replacement.
 
-    The noise is a hash of the id, so the sample is the same on every run. Without ``k`` it is
-    the number of documents whose weight reaches the model's cut. Result: all columns of
-    ``docs``, log_weight and gumbel_key (with a leading underscore where taken).
+    The noise is a hash of the id, so the sample is the same on every run. Without ``k`` every
+    n-gram of a document is weighed against the model's cut: the key is the log weight less the
+    cut for each n-gram, plus the noise, and ``k`` the number of documents that reach the cut.
+    A cut of minus infinity keeps everything. Result: all columns of ``docs``, log_weight and
+    gumbel_key (with a leading underscore where taken).
 
     The k-th key is found by counting keys by their leading 16 bits, four times; nothing is
     sorted, and at most 65,536 counts reach the driver at once. Rows that tie with the k-th
@@ -176,12 +186,14 @@ def resample(
     or k = 0, gives an empty result.
     """
     model = model or fit(docs, labels, id_col, text_col, label_col)
-    weight, key = fresh(docs, "log_weight"), fresh(docs, "gumbel_key")
+    weight, key, margin = fresh(docs, "log_weight"), fresh(docs, "gumbel_key"), fresh(docs, "cut_margin")
     uniform = (F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(seed)), 11) + 0.5) * 2.0**-53
-    keyed = weighed(docs, model, text_col, weight).withColumn(key, F.col(weight) - F.log(-F.log(uniform)))
-    keys = stored(keyed.select(F.col(weight).alias("weight"), F.col(key).alias("key")), "keys")
+    score = F.col(weight if k is not None else margin)
+    keyed = weighed(docs, model, text_col, weight, margin).withColumn(key, score - F.log(-F.log(uniform)))
+    keys = stored(keyed.select(F.col(margin).alias("margin"), F.col(key).alias("key")), "keys")
+    keyed = keyed.drop(margin)
     if k is None:
-        k = keys.where(F.col("weight") >= model.cut).count()
+        k = keys.where(F.col("margin") >= 0).count() if np.isfinite(model.cut) else keys.count()
     cutoff = kth_largest(keys.select("key"), k)
     return keyed.limit(0) if cutoff is None else keyed.where(F.col(key) >= cutoff)
 

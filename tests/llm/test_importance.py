@@ -19,6 +19,29 @@ def test_held_out_labels(spark):
     assert sum(k in kept for k in bad) <= 0.4 * len(bad)
 
 
+def test_short_junk_goes_at_every_size(spark):
+    for sf in ("sf0.001", "sf0.01"):
+        docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+        model = importance.fit(docs, labels)
+        assert np.isfinite(model.cut)
+        kept = {r.doc_id for r in importance.resample(docs, labels, model=model).collect()}
+        n_grams = {r.doc_id: len(importance.ngram_slots(r.text, {})) for r in docs.collect()}
+        rows = labels.collect()
+        good, bad = [r.doc_id for r in rows if r.quality == 1], [r.doc_id for r in rows if r.quality == 0]
+        short = [k for k in bad if n_grams[k] < 500]
+        assert len(short) >= 4 and sum(k in kept for k in short) <= 0.4 * len(short)
+        assert sum(k in kept for k in good) >= 0.95 * len(good) and sum(k in kept for k in bad) < 0.5 * len(bad)
+
+
+def test_held_out_quarter(spark):
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    kept = {r.doc_id for r in importance.resample(docs, labels.where(labels.doc_id % 4 != 0)).collect()}
+    test = [r for r in labels.collect() if r.doc_id % 4 == 0]
+    good, bad = [r.doc_id for r in test if r.quality == 1], [r.doc_id for r in test if r.quality == 0]
+    assert sum(k in kept for k in good) >= 0.9 * len(good)
+    assert sum(k in kept for k in bad) <= 0.4 * len(bad)
+
+
 def test_top_k_by_key(spark):
     docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
     model = importance.fit(docs, labels)
