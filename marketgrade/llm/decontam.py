@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -30,10 +31,13 @@ SHINGLE, QUESTION_SHARE, ANSWER_SHARE = 5, 0.5, 0.5
 PART_BYTES = 32 << 20
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+#: Punctuation and symbols, which part words; letters, digits and combining marks make them.
+_MARKS = "".join(c for c in map(chr, [*range(0x3100), *range(0xFE10, 0xFF70)]) if unicodedata.category(c)[0] in "PS")
+_WORD = re.compile(rf"[^\s{re.escape(_MARKS)}]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    return _WORD.findall((text or "").lower())
 
 
 def question_and_answer(text: str | None) -> tuple[list[str], list[str]]:
@@ -44,6 +48,11 @@ def question_and_answer(text: str | None) -> tuple[list[str], list[str]]:
     return words_of(" ".join(parts[:-1])), words_of(parts[-1])
 
 
+def with_question(question: list[str], answer: list[str]) -> list[str]:
+    """A short answer behind the end of its question, of which half the shingles lie in the question alone; else none."""
+    return question[-(len(answer) + SHINGLE - 1) :] + answer if 0 < len(answer) < SHINGLE <= len(question) else []
+
+
 def shingles(words: list[str], size: int = SHINGLE) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
 
@@ -56,7 +65,7 @@ class Index:
     """
 
     def __init__(self, items: list[tuple]):
-        self.items = [(key, *map(shingles, question_and_answer(text))) for key, text in items]
+        self.items = [(key, *question_and_answer(text)) for key, text in items]
         units = []
         for number, (_, text) in enumerate(items):
             words = words_of(text)
@@ -157,11 +166,14 @@ class Index:
         if not retrieved:
             return
         have = shingles(words)
-        wanted = {n: (self.items[n][1], self.items[n][2]) for n in retrieved}
-        for number, (question, answer) in sorted(wanted.items()):
-            q = self._share(question, have, words)
-            a = self._share(answer, have, words)
-            if q >= QUESTION_SHARE and a >= ANSWER_SHARE:
+        for number in sorted(retrieved):
+            _, question, answer = self.items[number]
+            q = self._share(shingles(question), have, words)
+            a = self._share(shingles(answer), have, words)
+            joined = with_question(question, answer)
+            if joined:
+                a = max(a, self._share(shingles(joined), have, words))
+            if q >= QUESTION_SHARE and (a >= ANSWER_SHARE or joined and q == 1.0):
                 yield number, q, a
 
     @staticmethod
@@ -189,7 +201,10 @@ def leaks(
     bounds first drop the passages in which no block of items can reach the score; block-max
     WAND finds all units above it in the rest. Retrieved items are verified in the whole
     document by shingles of five words: half of the question's and half of the answer's must
-    be there (an item's last sentence counts as its answer).
+    be there (an item's last sentence counts as its answer). Words are lower-cased and end at
+    white space, punctuation and symbols. An answer of fewer than five words is also judged
+    together with the end of its question, the better share counts, and a question of five words
+    or more that is there as a whole is enough for it.
 
     The index is sent to every task, in parts of at most ``PART_BYTES`` of item text; the parts
     are searched one after another, so a large benchmark means more passes and not more

@@ -56,6 +56,23 @@ def test_long_items_long_texts_and_edits(spark):
     assert got == [(1, 10), (4, 10), (4, 10)]
 
 
+def test_short_answers_missing_edited_and_repunctuated(spark):
+    rng = random.Random(3)
+    prose = lambda n: " ".join(f"p{rng.randrange(5000)}" for _ in range(n))
+    items, docs, want = [], [], set()
+    for number in range(40):
+        question, answer = prose(rng.randrange(6, 50)), prose(1 + number % 4)
+        items.append((number, f"{question}. {answer}."))
+        for kind, leak in enumerate([question, f"{question}. q1 q2", f"{question}, {answer}!", question.replace(" ", ", ") + f'? "{answer}"', f"{answer}. {prose(40)}"]):
+            docs.append((5 * number + kind, f"{prose(60)} {leak} {prose(60)}"))
+            if kind < 4:
+                want.add((5 * number + kind, number))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(table, benchmark).collect()} == want
+    assert {r.doc_id for r in decontam.decontaminated(table, benchmark).collect()} == {k for k, _ in docs} - {k for k, _ in want}
+
+
 def test_parts_nulls_and_empty_tables(spark, monkeypatch):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "a b c d e f g h i j k l"), (4, "x y z")], "doc_id long, text string")
     benchmark = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, "x y z")], "item_id long, text string")
