@@ -8,12 +8,14 @@ import unicodedata
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .common import arrow_schema, as_batch
 
 K1, B = 1.2, 0.75
@@ -27,8 +29,10 @@ UNIT_WORDS = 64
 SCORE_SHARE = 0.5
 #: Words in the shingles of the final check, and the shares of question and answer that must be found.
 SHINGLE, QUESTION_SHARE, ANSWER_SHARE = 5, 0.5, 0.5
-#: Bytes of item text in one broadcast index; more items are indexed and searched part by part.
-PART_BYTES = 32 << 20
+#: Bytes of item text (UTF-8) in one index; more items are indexed and searched part by part.
+PART_BYTES = 4 << 20
+#: Cells, at most, of a dense table of block bounds; a larger one is kept sparse.
+TABLE_CELLS = 4 << 20
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 #: Punctuation and symbols, which part words; letters, digits and combining marks make them.
@@ -57,23 +61,34 @@ def shingles(words: list[str], size: int = SHINGLE) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Number of units of the whole benchmark, and the number that hold a term, for a part's terms."""
+
+    units: int = 0
+    frequency: dict[str, int] = field(default_factory=dict)
+
+
+def units_of(text: str | None) -> list[list[str]]:
+    """The words of an item in pieces of ``UNIT_WORDS``."""
+    words = words_of(text)
+    return [words[i : i + UNIT_WORDS] for i in range(0, len(words), UNIT_WORDS)]
+
+
 class Index:
     """An inverted index of item units; impacts are BM25 scores as shares of the unit's own score.
 
     ``postings`` has, by term, the unit numbers in rising order and their impacts; ``bounds``
-    the largest impact by block of ``BLOCK_ITEMS`` units, for the block-max checks.
+    the largest impact by block of ``BLOCK_ITEMS`` units, for the block-max checks. Without
+    ``statistics`` the items are taken for the whole benchmark.
     """
 
-    def __init__(self, items: list[tuple]):
+    def __init__(self, items: list[tuple], statistics: Statistics | None = None):
         self.items = [(key, *question_and_answer(text)) for key, text in items]
-        units = []
-        for number, (_, text) in enumerate(items):
-            words = words_of(text)
-            units += [(number, words[i : i + UNIT_WORDS]) for i in range(0, len(words), UNIT_WORDS)]
+        units = [(number, words) for number, (_, text) in enumerate(items) for words in units_of(text)]
         self.owner = [number for number, _ in units]
-        n = len(units)
-        frequency = Counter(t for _, words in units for t in set(words))
-        idf = {t: math.log(1 + (n - df + 0.5) / (df + 0.5)) for t, df in frequency.items()}
+        known = statistics or Statistics(len(units), Counter(t for _, words in units for t in set(words)))
+        idf = {t: math.log(1 + (known.units - df + 0.5) / (df + 0.5)) for t, df in known.frequency.items()}
         lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
         # A passage has a fixed length, so only term saturation and idf tell passages apart here.
         for unit, (_, words) in enumerate(units):
@@ -81,7 +96,7 @@ class Index:
             own = sum(idf[t] * c * (K1 + 1) / (c + K1) for t, c in counts.items())
             for t, c in counts.items():
                 lists[t].append((unit, idf[t] * c * (K1 + 1) / (c + K1) / own))
-        self.blocks = -(-n // BLOCK_ITEMS)
+        self.blocks = -(-len(units) // BLOCK_ITEMS)
         self.term = {t: i for i, t in enumerate(lists)}
         self.units = [[u for u, _ in x] for x in lists.values()]
         self.impacts = [[s for _, s in x] for x in lists.values()]
@@ -139,15 +154,27 @@ class Index:
             live = [i for i in live if at[i] < len(lists[i][0])]
         return found
 
-    def dense_bounds(self) -> np.ndarray:
-        """Block bounds as terms by blocks, to bound many passages at once."""
+    def dense_bounds(self) -> np.ndarray | None:
+        """Block bounds as terms by blocks, to bound many passages at once; None if that were too large."""
+        if len(self.bounds) * self.blocks > TABLE_CELLS:
+            return None
         table = np.zeros((len(self.bounds), max(1, self.blocks)), np.float32)
         for t, found in enumerate(self.bounds):
             for b, s in found.items():
                 table[t, b] = s
         return table
 
-    def leaks(self, text: str | None, table: np.ndarray) -> Iterator[tuple[int, float, float, float]]:
+    def highest_bound(self, terms: np.ndarray, table: np.ndarray | None) -> float:
+        """The largest bound of a block for a passage with these distinct terms."""
+        if table is not None:
+            return float(table[terms].sum(axis=0).max())
+        total: dict[int, float] = defaultdict(float)
+        for t in terms.tolist():
+            for b, s in self.bounds[t].items():
+                total[b] += s
+        return max(total.values())
+
+    def leaks(self, text: str | None, table: np.ndarray | None) -> Iterator[tuple[int, float, float, float]]:
         """Items (number, score, question share, answer share) that a text contains."""
         words = words_of(text)
         get = self.term.get
@@ -161,7 +188,7 @@ class Index:
         for start in starts.tolist():
             terms = np.unique(known[start : start + PASSAGE_WORDS])
             terms = terms[terms >= 0]
-            if len(terms) and table[terms].sum(axis=0).max() >= SCORE_SHARE - 1e-6:
+            if len(terms) and self.highest_bound(terms, table) >= SCORE_SHARE - 1e-6:
                 retrieved.update(self.owner[u] for u in self.search(terms.tolist(), SCORE_SHARE))
         if not retrieved:
             return
@@ -208,7 +235,8 @@ def leaks(
 
     The index is sent to every task, in parts of at most ``PART_BYTES`` of item text; the parts
     are searched one after another, so a large benchmark means more passes and not more
-    memory. Documents are never shuffled, so copies and hot sources cost nothing extra.
+    memory in the tasks. Terms are counted once over all items, so the parts do not change the
+    scores. The text of all parts passes through the driver and is held there. Documents are never shuffled, so copies and hot sources cost nothing extra.
 
     Null or empty texts and items match nothing. Repeated rows give repeated result rows, null
     ids are returned as null. An empty table on either side gives an empty result.
@@ -217,31 +245,50 @@ def leaks(
     schema = schema.add("question_share", "double").add("answer_share", "double")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = None
-    for part in _parts(benchmark, item_col, item_text_col):
-        one = rows.mapInArrow(_search_function(part), schema)
+    for part, known in _parts(benchmark, item_col, item_text_col):
+        one = rows.mapInArrow(_search_function(part, known), schema)
         found = one if found is None else found.unionByName(one)
     if found is None:
         found = docs.sparkSession.createDataFrame([], schema)
     return found.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
-def _parts(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple]]:
-    """Item lists of at most ``PART_BYTES`` each; a single longer item makes a part of its own."""
+def _parts(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[list[tuple], Statistics]]:
+    """Item lists of at most ``PART_BYTES`` each, with the whole benchmark's counts of their terms.
+
+    A single longer item makes a part of its own.
+    """
     items = benchmark.where(F.length(F.trim(text_col)) > 0).select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
-    part, size = [], 0
-    for row in items.orderBy("item", "text").toLocalIterator():
-        if part and size + len(row.text) > PART_BYTES:
-            yield part
-            part, size = [], 0
+    items = stored(items.withColumn("row", F.monotonically_increasing_id()), "items")
+    held = stored(items.select("row", "text").mapInArrow(_unit_terms, "row long, unit long, term string"), "terms")
+    n = held.select("row", "unit").distinct().count()
+    frequency = held.groupBy("term").agg(F.count("*").alias("df"))
+    counts = held.select("row", "term").distinct().join(frequency, "term").groupBy("row").agg(F.collect_list(F.struct("term", "df")).alias("counts"))
+    part, size, known = [], 0, {}
+    for row in items.join(counts, "row").orderBy("item", "text").toLocalIterator():
+        more = len(row.text.encode("utf-8", "replace"))
+        if part and size + more > PART_BYTES:
+            yield part, Statistics(n, known)
+            part, size, known = [], 0, {}
         part.append((row.item, row.text))
-        size += len(row.text)
+        size += more
+        known.update((c.term, c.df) for c in row.counts)
     if part:
-        yield part
+        yield part, Statistics(n, known)
+
+
+def _unit_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (row, unit, term) for each distinct term of each unit."""
+    types = arrow_schema(row=pa.int64(), unit=pa.int64(), term=pa.string())
+    for batch in batches:
+        for row, text in zip(batch.column("row").to_pylist(), batch.column("text"), strict=True):
+            found = [(row, number, t) for number, words in enumerate(units_of(text.as_py())) for t in set(words)]
+            yield as_batch(found, types)
 
 
-def _search_function(items: list[tuple]):
+def _search_function(items: list[tuple], known: Statistics):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items)
+        index = Index(items, known)
         table = index.dense_bounds()
         for batch in batches:
             types = arrow_schema(id=batch.schema.field("id").type, item=pa.array([items[0][0]]).type, question_share=pa.float64(), answer_share=pa.float64())
@@ -267,14 +314,14 @@ def decontaminated(
 
     Each row is judged in place, so nothing is shuffled. All columns stay as they are.
     """
-    for part in _parts(benchmark, item_col, item_text_col):
-        docs = docs.mapInArrow(_clean_function(part, text_col), docs.schema)
+    for part, known in _parts(benchmark, item_col, item_text_col):
+        docs = docs.mapInArrow(_clean_function(part, known, text_col), docs.schema)
     return docs
 
 
-def _clean_function(items: list[tuple], text_col: str):
+def _clean_function(items: list[tuple], known: Statistics, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items)
+        index = Index(items, known)
         table = index.dense_bounds()
         for batch in batches:
             clean = [next(index.leaks(t.as_py(), table), None) is None for t in batch.column(text_col)]

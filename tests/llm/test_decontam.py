@@ -73,6 +73,25 @@ def test_short_answers_missing_edited_and_repunctuated(spark):
     assert {r.doc_id for r in decontam.decontaminated(table, benchmark).collect()} == {k for k, _ in docs} - {k for k, _ in want}
 
 
+def test_parts_keep_the_scores_and_a_sparse_table_the_bounds(spark, monkeypatch):
+    benchmark = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
+    items = [(r.item_id, r.text) for r in benchmark.orderBy("item_id", "text").collect()]
+    whole = decontam.Index(items)
+
+    def impacts(index):
+        return sorted((index.items[index.owner[u]][0], t, round(s, 9)) for t, i in index.term.items() for u, s in zip(index.units[i], index.impacts[i], strict=True))
+
+    monkeypatch.setattr(decontam, "PART_BYTES", 2000)
+    parts = list(decontam._parts(benchmark, "item_id", "text"))
+    assert len(parts) > 3 and all(sum(len(t.encode()) for _, t in part) <= 2000 for part, _ in parts if len(part) > 1)
+    assert sorted(x for part in parts for x in impacts(decontam.Index(*part))) == impacts(whole)
+    dense = whole.dense_bounds()
+    monkeypatch.setattr(decontam, "TABLE_CELLS", 10)
+    assert whole.dense_bounds() is None
+    text = "some words " + items[3][1] + " and more " + items[7][1]
+    assert list(whole.leaks(text, None)) == list(whole.leaks(text, dense)) and len(list(whole.leaks(text, None))) >= 2
+
+
 def test_parts_nulls_and_empty_tables(spark, monkeypatch):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "a b c d e f g h i j k l"), (4, "x y z")], "doc_id long, text string")
     benchmark = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, "x y z")], "item_id long, text string")
