@@ -63,9 +63,10 @@ def shingles(words: list[str], size: int = SHINGLE) -> set[tuple[str, ...]]:
 
 @dataclass(frozen=True)
 class Statistics:
-    """Number of units of the whole benchmark, and the number that hold a term, for a part's terms."""
+    """Number of units of the whole benchmark and their words, and the number that hold a term, for a part's terms."""
 
     units: int = 0
+    words: int = 0
     frequency: dict[str, int] = field(default_factory=dict)
 
 
@@ -87,15 +88,15 @@ class Index:
         self.items = [(key, *question_and_answer(text)) for key, text in items]
         units = [(number, words) for number, (_, text) in enumerate(items) for words in units_of(text)]
         self.owner = [number for number, _ in units]
-        known = statistics or Statistics(len(units), Counter(t for _, words in units for t in set(words)))
+        known = statistics or Statistics(len(units), sum(len(w) for _, w in units), Counter(t for _, words in units for t in set(words)))
         idf = {t: math.log(1 + (known.units - df + 0.5) / (df + 0.5)) for t, df in known.frequency.items()}
         lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        # A passage has a fixed length, so only term saturation and idf tell passages apart here.
         for unit, (_, words) in enumerate(units):
-            counts = Counter(words)
-            own = sum(idf[t] * c * (K1 + 1) / (c + K1) for t, c in counts.items())
-            for t, c in counts.items():
-                lists[t].append((unit, idf[t] * c * (K1 + 1) / (c + K1) / own))
+            norm = K1 * (1 - B + B * len(words) * known.units / known.words)
+            scores = {t: idf[t] * c * (K1 + 1) / (c + norm) for t, c in Counter(words).items()}
+            own = sum(scores.values())
+            for t, score in scores.items():
+                lists[t].append((unit, score / own))
         self.blocks = -(-len(units) // BLOCK_ITEMS)
         self.term = {t: i for i, t in enumerate(lists)}
         self.units = [[u for u, _ in x] for x in lists.values()]
@@ -260,29 +261,30 @@ def _parts(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple
     """
     items = benchmark.where(F.length(F.trim(text_col)) > 0).select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
     items = stored(items.withColumn("row", F.monotonically_increasing_id()), "items")
-    held = stored(items.select("row", "text").mapInArrow(_unit_terms, "row long, unit long, term string"), "terms")
+    held = stored(items.select("row", "text").mapInArrow(_unit_terms, "row long, unit long, term string, times long"), "terms")
     n = held.select("row", "unit").distinct().count()
+    words = held.agg(F.sum("times")).first()[0]
     frequency = held.groupBy("term").agg(F.count("*").alias("df"))
     counts = held.select("row", "term").distinct().join(frequency, "term").groupBy("row").agg(F.collect_list(F.struct("term", "df")).alias("counts"))
     part, size, known = [], 0, {}
     for row in items.join(counts, "row").orderBy("item", "text").toLocalIterator():
         more = len(row.text.encode("utf-8", "replace"))
         if part and size + more > PART_BYTES:
-            yield part, Statistics(n, known)
+            yield part, Statistics(n, words, known)
             part, size, known = [], 0, {}
         part.append((row.item, row.text))
         size += more
         known.update((c.term, c.df) for c in row.counts)
     if part:
-        yield part, Statistics(n, known)
+        yield part, Statistics(n, words, known)
 
 
 def _unit_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (row, unit, term) for each distinct term of each unit."""
-    types = arrow_schema(row=pa.int64(), unit=pa.int64(), term=pa.string())
+    """A row (row, unit, term, times) for each distinct term of each unit."""
+    types = arrow_schema(row=pa.int64(), unit=pa.int64(), term=pa.string(), times=pa.int64())
     for batch in batches:
         for row, text in zip(batch.column("row").to_pylist(), batch.column("text"), strict=True):
-            found = [(row, number, t) for number, words in enumerate(units_of(text.as_py())) for t in set(words)]
+            found = [(row, number, t, c) for number, words in enumerate(units_of(text.as_py())) for t, c in Counter(words).items()]
             yield as_batch(found, types)
 
 

@@ -1,5 +1,6 @@
 """Decontamination against overlap with every item, and the index against full scoring."""
 
+import math
 import random
 
 from marketgrade.llm import decontam
@@ -92,6 +93,18 @@ def test_parts_keep_the_scores_and_a_sparse_table_the_bounds(spark, monkeypatch)
     assert list(whole.leaks(text, None)) == list(whole.leaks(text, dense)) and len(list(whole.leaks(text, None))) >= 2
 
 
+def test_impacts_are_normalised_by_length():
+    texts = ["a a b", "a b " + " ".join(f"c{i}" for i in range(40)), "d e f a"]
+    index = decontam.Index(list(enumerate(texts)))
+    units = [t.split() for t in texts]
+    mean = sum(map(len, units)) / 3
+    for n, words in enumerate(units):
+        df = {t: sum(t in u for u in units) for t in words}
+        score = {t: math.log(1 + (3 - df[t] + 0.5) / (df[t] + 0.5)) * words.count(t) * 2.2 / (words.count(t) + 1.2 * (0.25 + 0.75 * len(words) / mean)) for t in df}
+        got = {t: s for t, i in index.term.items() for u, s in zip(index.units[i], index.impacts[i], strict=True) if u == n}
+        assert got.keys() == score.keys() and all(abs(got[t] - score[t] / sum(score.values())) < 1e-9 for t in got)
+
+
 def test_parts_nulls_and_empty_tables(spark, monkeypatch):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "a b c d e f g h i j k l"), (4, "x y z")], "doc_id long, text string")
     benchmark = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, "x y z")], "item_id long, text string")
