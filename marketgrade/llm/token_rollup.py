@@ -13,6 +13,8 @@ from .common import with_field
 KEY = ["source", "lang", "version"]
 #: A change: the document, its group, the operation (insert, revise, delete) and its counts.
 CHANGE = "doc_id long, source string, lang string, version string, op string, n_tokens long, n_chars long"
+#: A change with its place among the changes of its document and version; the place may be null or left out.
+SEQUENCED_CHANGE = CHANGE + ", seq long"
 _LEDGER = "doc_id long, source string, lang string, version string, sign int, n_tokens long, n_chars long"
 _DELTA = "source string, lang string, version string, n_docs long, n_tokens long, n_chars long"
 _LIVE = ["doc_id", *KEY, "n_tokens", "n_chars"]
@@ -59,24 +61,27 @@ class TokenRollup:
         An insert or revision takes back the counts that the document has under the version, if
         any, and adds the new ones; a delete takes them back. A delete of an unknown document
         has no effect. Null sources, languages and counts are groups "unknown" and 0. Changes
-        without a document, a version or a known operation have no effect. Repeated changes of
-        one document and version in a batch count once: a revision before an insert before a
-        delete, then the one with the largest counts, source and language. An empty batch is
-        committed and changes nothing.
+        without a document, a version or a known operation have no effect. Of several changes of
+        one document and version in a batch the one with the largest ``seq`` counts, a number
+        that the caller gives in the order of the changes (null before all others). Among equal
+        or missing ones it is a revision before an insert before a delete, then the one with the
+        largest counts, source and language. An empty batch is committed and changes nothing.
         """
         if batch in self.committed():
             return False
         rank = F.when(F.col("op") == "revise", 2).when(F.col("op") == "insert", 1).when(F.col("op") == "delete", 0)
+        seq = F.col("seq").cast("long") if "seq" in changes.columns else F.lit(None).cast("long")
         clean = changes.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("version").cast("string").alias("version"),
+            F.coalesce(seq, F.lit(-(2**63))).alias("seq"),
             rank.alias("rank"),
             F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n_tokens"),
             F.coalesce(F.col("n_chars").cast("long"), F.lit(0)).alias("n_chars"),
             F.coalesce("source", F.lit("unknown")).alias("source"),
             F.coalesce("lang", F.lit("unknown")).alias("lang"),
         ).where("doc_id IS NOT NULL AND version IS NOT NULL AND rank IS NOT NULL")
-        last = clean.groupBy("doc_id", "version").agg(F.max(F.struct("rank", "n_tokens", "n_chars", "source", "lang")).alias("c"))
+        last = clean.groupBy("doc_id", "version").agg(F.max(F.struct("seq", "rank", "n_tokens", "n_chars", "source", "lang")).alias("c"))
         added = last.where("c.rank > 0").select("doc_id", "c.source", "c.lang", "version", F.lit(1).alias("sign"), "c.n_tokens", "c.n_chars")
         rows = added
         if self.committed():

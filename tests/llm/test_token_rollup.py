@@ -45,6 +45,27 @@ def test_random_batches(spark, tmp_path):
     assert {(r.doc_id, r.version) for r in rollup.ledger().collect()} == set(live)
 
 
+def test_the_last_change_in_a_batch_counts(spark, tmp_path):
+    rng = random.Random(5)
+    rollup = token_rollup.TokenRollup(spark, str(tmp_path / "r"))
+    live = {}
+    for batch in range(3):
+        rows = []
+        for seq in range(60):
+            key, op, tokens, chars = (rng.randrange(12), "v"), rng.choice(["insert", "revise", "delete"]), rng.randrange(100), rng.randrange(500)
+            rows.append((key[0], "a", "en", "v", op, tokens, chars, seq))
+            if op == "delete":
+                live.pop(key, None)
+            else:
+                live[key] = ("a", "en", tokens, chars)
+        rng.shuffle(rows)
+        assert rollup.apply(f"b{batch}", spark.createDataFrame(rows + rows[:5], token_rollup.SEQUENCED_CHANGE))
+        assert totals(rollup) == recount(live)
+    rows = [(99, "a", "en", "w", "insert", 7, 7, 1), (99, "a", "en", "w", "insert", 90, 90, None), (99, "a", "en", "w", "delete", 0, 0, 1)]
+    rollup.apply("ties", spark.createDataFrame(rows, token_rollup.SEQUENCED_CHANGE))
+    assert totals(rollup)["a", "en", "w"] == (1, 7, 7)
+
+
 def test_an_unfinished_batch_does_not_count(spark, tmp_path):
     rollup = token_rollup.TokenRollup(spark, str(tmp_path / "r"))
     rows = spark.createDataFrame([(1, "a", "en", "v1", "insert", 5, 9)], token_rollup.CHANGE)
