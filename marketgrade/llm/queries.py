@@ -41,7 +41,12 @@ def kind_count(spans: Column, kind: str) -> Column:
 
 @query
 def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Totals after four batches: words of all documents, their BPE tokens, the first batch again, and word counts taken back but for English."""
+    """Totals after inserts, a revision and a delete, two of them repeated.
+
+    Batches: pieces between single spaces of all documents, their BPE tokens, the first batch
+    again, the pieces revised to words, that batch again, and word counts taken back but for
+    English.
+    """
     docs = read(spark, folder, "documents").select("doc_id", "source", "lang", "text")
     ranks = bpe.read_ranks(public_tokenizers.path(RANKS))
     counted = token_rollup.bpe_counts(docs, ranks, public_tokenizers.PATTERN).select(
@@ -50,6 +55,7 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
         "lang",
         "n_tokens",
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).alias("n_words"),
+        (F.regexp_count(F.coalesce("text", F.lit("")), F.lit(" ")) + 1).alias("n_pieces"),
         F.char_length(F.coalesce("text", F.lit(""))).alias("n_chars"),
     )
     counted = stored(counted, "counts")
@@ -58,10 +64,12 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
         return rows.select("doc_id", "source", "lang", F.lit(version).alias("version"), F.lit(op).alias("op"), F.col(count).alias("n_tokens"), "n_chars")
 
     rollup = token_rollup.TokenRollup(spark, scratch_folder(spark, "rollup"))
-    rollup.apply("words-1", changes("insert", "words-1", "n_words"))
+    rollup.apply("words-1", changes("insert", "words-1", "n_pieces"))
     rollup.apply("bpe-1", changes("insert", "byte_bpe_multi_50k", "n_tokens"))
-    rollup.apply("words-1", changes("insert", "words-1", "n_words"))
-    rollup.apply("retire-1", changes("delete", "words-1", "n_words", counted.where("lang <> 'en'")))
+    rollup.apply("words-1", changes("insert", "words-1", "n_pieces"))
+    for _ in range(2):
+        rollup.apply("words-2", changes("revise", "words-1", "n_words"))
+    rollup.apply("retire-1", changes("delete", "words-1", "n_words", counted.where("NOT lang <=> 'en'")))
     return rollup.totals()
 
 

@@ -98,6 +98,23 @@ def test_query(spark):
     assert got == recount(live)
 
 
+def test_query_revises_and_takes_back_null_languages(spark, tmp_path, monkeypatch):
+    rows = [(1, "a", "en", "two  words\nhere "), (2, "a", None, "no language"), (3, "a", "de", "ein Wort"), (4, "a", "en", None)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    seen = []
+    apply = token_rollup.TokenRollup.apply
+
+    def watched(rollup, batch, changes):
+        done = apply(rollup, batch, changes)
+        seen.append((batch, done, totals(rollup).get(("a", "en", "words-1"))))
+        return done
+
+    monkeypatch.setattr(token_rollup.TokenRollup, "apply", watched)
+    got = QUERIES["op1_token_counts"](spark, str(tmp_path)).collect()
+    assert {(r.source, r.lang, r.n_docs, r.n_tokens) for r in got if r.version == "words-1"} == {("a", "en", 2, 3)}
+    assert [x[2][1] for x in seen] == [5, 5, 5, 3, 3, 3] and [x[1] for x in seen] == [True, True, False, True, False, True]
+
+
 def test_counts_of_odd_texts(spark):
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "two words")], "doc_id long, text string")
