@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_folder, ship_package, stored
-from . import bpe, decontam, fingerprints, importance, line_dedup, ngram_join, pii, secrets, token_rollup, warc
+from . import alignment, bpe, byte_level, decontam, divergence, fingerprints, importance, line_dedup, ngram_join, packing, pii, secrets, token_rollup, warc
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -182,3 +182,71 @@ def op9_importance(spark: SparkSession, folder: str) -> DataFrame:
 def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     found = ngram_join.classes(read(spark, folder, "documents"), words=3, percent=90)
     return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+
+
+@query
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergences(read(spark, folder, "documents"))
+
+
+ORACLES["op11_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+w AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS all_n FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT g.lang, count(DISTINCT term) AS v FROM g LEFT JOIN k ON k.lang = g.lang GROUP BY g.lang),
+c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM w JOIN k USING (lang, term) GROUP BY lang, source, term),
+t AS (SELECT lang, source, CAST(sum(n) AS HUGEINT) AS total FROM c GROUP BY lang, source),
+a AS (SELECT lang, CAST(sum(n) AS HUGEINT) AS total FROM c GROUP BY lang),
+f AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(t.total, 0) + 2 * v.v) AS p,
+    1 + (1000000000::HUGEINT * (k.all_n + 2)) // (a.total + 2 * v.v) AS q
+  FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang JOIN a ON a.lang = g.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  LEFT JOIN t ON t.lang = g.lang AND t.source = g.source),
+s AS (
+  SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+  FROM f x JOIN f y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+r AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(s.value, 0) AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM f WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+  CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
+@query
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    first = byte_level.read_byte_level(public_tokenizers.path("byte_bpe_50k.json"), ranks, public_tokenizers.PATTERN, plain_special=True)
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as model:
+        second = model.read()
+    return alignment.align(read(spark, folder, "documents"), first, second).select(
+        "doc_id",
+        "n_a",
+        "n_b",
+        "n_groups",
+        "n_links",
+        "n_best",
+        "count_sum",
+        F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"),
+    )
+
+
+@query
+def op13_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    tokens = byte_level.read_byte_level(public_tokenizers.path("byte_bpe_50k.json"), ranks, public_tokenizers.PATTERN)
+    pieces = packing.token_pieces(read(spark, folder, "documents"), tokens, end_id=2, size=1024)
+    pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(pieces, size=1024).select(
+        "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset"
+    )
