@@ -24,8 +24,9 @@ def _is_object(text: Column) -> Column:
 
 
 def verdict_number(verdict: Column, field: str) -> Column:
-    """A number of a JSON verdict, written with or without quotes; null for anything else."""
-    return _fields(verdict)[field].try_cast("double")
+    """A number of a JSON verdict, written with or without quotes, the last one of the name; null for anything else."""
+    found = F.filter(F.map_entries(_fields(verdict)), lambda e: e["key"] == field)
+    return F.try_element_at(found, F.lit(-1))["value"].try_cast("double")
 
 
 def last_json_object(text: Column) -> Column:
@@ -38,6 +39,23 @@ def last_json_object(text: Column) -> Column:
     return F.when(F.size(candidates) > 0, F.element_at(candidates, -1))
 
 
+def verdict_of(reply: str | None) -> tuple[float, float] | None:
+    """The numbers (yhat, confidence) of a reply's closing JSON verdict, as the column rules read them."""
+    import json
+    import re
+
+    for found in reversed(re.findall(FLAT_OBJECT, reply or "")):
+        try:
+            verdict = json.loads(found)
+        except ValueError:
+            continue
+        try:
+            return float(verdict["yhat"]), float(verdict["confidence"])
+        except (KeyError, TypeError, ValueError):
+            return None
+    return None
+
+
 def narrative(text: Column) -> Column:
     """A briefing without its closing JSON verdict."""
     return strip(F.regexp_replace(text, r"(?U)\s*\{[^{}]*\}\s*$", ""))

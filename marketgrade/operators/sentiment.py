@@ -39,6 +39,11 @@ def message_counts(messages: DataFrame, limit: int = MESSAGE_LIMIT) -> DataFrame
         F.count(F.lit(1)).alias("total"),
         F.max("ts").alias("last_ts"),
     )
+    return with_shares(counts)
+
+
+def with_shares(counts: DataFrame) -> DataFrame:
+    """Label counts with the unlabelled rest and whole percentages."""
     percent = lambda c: F.bround(100 * F.col(c) / F.col("total"), 0).cast("int")
     return counts.withColumns(
         {

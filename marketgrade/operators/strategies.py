@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scoring import clamp
-from ..functions.text import last_json_object, verdict_number
+from ..functions.text import last_json_object, verdict_number, verdict_of
 from ..session import cut
 from .asof import asof_join
 from .features import FEATURES, tick_line
@@ -185,42 +185,60 @@ def with_sentiment(features: DataFrame, snapshots: DataFrame, width: int = HOUR_
     ).filter(F.col("snap_ts").isNotNull())
 
 
+def score_step() -> Column:
+    return F.bround("score", 1)
+
+
+def rsi_step() -> Column:
+    return F.bround(F.coalesce("rsi", F.lit(50.0)) / 5.0, 0)
+
+
+def spread_step() -> Column:
+    return F.bround(F.coalesce(ema_spread(), F.lit(0.0)) * 1000, 0)
+
+
 def verdict_runs(rows: DataFrame, width: int = HOUR_MS) -> DataFrame:
-    """Mark the first row of each run of rows that share a coarse reading of the market.
+    """Mark the first row of each run of rows that share a coarse ``reading`` of the market.
 
     A verdict is asked for once per run, so ``head`` is true where one is needed. The reading
     is the snapshot, its score to one place, RSI in steps of 5 and spread in steps of 0.001.
     """
-    spread = F.coalesce(ema_spread(), F.lit(0.0))
     reading = F.struct(
-        F.col("snap_ts"),
-        F.bround("score", 1),
-        F.bround(F.coalesce("rsi", F.lit(50.0)) / 5.0, 0),
-        F.bround(spread * 1000, 0),
+        F.col("snap_ts"), score_step().alias("score"), rsi_step().alias("rsi"), spread_step().alias("spread")
     )
-    line = tick_line(width)
-    marked = previous(rows.withColumn("_reading", reading), line, F.col("_reading"), "_before")
-    changed = F.col("_before").isNull() | ~F.col("_before").eqNullSafe(F.col("_reading"))
-    return marked.withColumn("head", changed).drop("_before", "_reading")
+    marked = previous(rows.withColumn("reading", reading), tick_line(width), F.col("reading"), "_before")
+    changed = F.col("_before").isNull() | ~F.col("_before").eqNullSafe(F.col("reading"))
+    return marked.withColumn("head", changed).drop("_before")
 
 
-def sentiment_prompt(horizon_s: int) -> Column:
+def crowd_text() -> Column:
+    """The part of a prompt that a snapshot gives."""
     sources = F.when(F.size("sources") > 0, F.concat_ws(",", "sources")).otherwise("none")
     return F.format_string(
-        "Symbol %s. Crowd sentiment %+.2f from %d messages via %s. RSI %.0f, EMA spread %+.4f, "
-        "volatility %.5f. Give the fractional return expected over "
-        + str(horizon_s)
-        + ' seconds, only as JSON: {"yhat": <signed number>, "confidence": <0 to 1>}.',
+        "Symbol %s. Crowd sentiment %+.2f from %d messages via %s.",
         F.col("symbol"),
         F.col("score"),
         F.col("n").cast("bigint"),
         sources,
+    )
+
+
+def market_text(horizon_s: int) -> Column:
+    """The part of a prompt that a feature row gives, and the question."""
+    return F.format_string(
+        " RSI %.0f, EMA spread %+.4f, volatility %.5f. Give the fractional return expected over "
+        + str(horizon_s)
+        + ' seconds, only as JSON: {"yhat": <signed number>, "confidence": <0 to 1>}.',
         F.coalesce("rsi", F.lit(50.0)),
         F.coalesce(ema_spread(), F.lit(0.0)),
         F.coalesce("vol", F.lit(0.0)),
     )
 
 
+def sentiment_prompt(horizon_s: int) -> Column:
+    return F.concat(crowd_text(), market_text(horizon_s))
+
+
 def ask(rows: DataFrame, prompt: Column, model: Model, out: str) -> DataFrame:
     """Add the model's reply to each prompt; a failed prompt gives null, not a failed job."""
 
@@ -244,6 +262,73 @@ def _safe_replies(model: Model, prompts: pd.Series) -> pd.Series:
         return pd.Series(replies, dtype=object)
 
 
+def one_reply(model: Model) -> Callable[[str], str | None]:
+    """The model for one prompt at a time; null where it fails."""
+    return lambda prompt: _safe_replies(model, pd.Series([prompt]))[0]
+
+
+def first_answers(rows: DataFrame, prompt: Column, model: Model) -> DataFrame:
+    """The first row of each run (symbol, run) whose prompt the model answers, with its ``_reply``.
+
+    A run's rows are asked one after another until one answer comes, so nothing is asked that
+    a live loop would not ask; different runs are asked in parallel. Rows are streamed in order
+    and not gathered.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done = None
+        for batch in batches:
+            made = []
+            for row in batch.itertuples(index=False):
+                if (row.symbol, row.run_ts, row.run_id) == done:
+                    continue
+                reply = _safe_replies(model, pd.Series([row.prompt]))[0]
+                if verdict_of(reply) is not None:
+                    done = (row.symbol, row.run_ts, row.run_id)
+                    made.append((*done, row.ts, row.trade_id, reply))
+            yield pd.DataFrame(made, columns=["symbol", "run_ts", "run_id", "ts", "trade_id", "_reply"])
+
+    asked = rows.select("symbol", F.col("run.ts").alias("run_ts"), F.col("run.trade_id").alias("run_id"), "ts", "trade_id", prompt.alias("prompt"))
+    asked = asked.repartition("symbol", "run_ts", "run_id").sortWithinPartitions("symbol", "run_ts", "run_id", "ts", "trade_id")
+    return asked.mapInPandas(run, "symbol string, run_ts bigint, run_id bigint, ts bigint, trade_id bigint, _reply string")
+
+
+def verdict_events(runs: DataFrame, signals: Signals, horizon_s: int) -> DataFrame:
+    """Rows (symbol, ts, trade_id, event): where a verdict starts to hold (``event.v``), or none holds (null).
+
+    The first row of each run is asked. Where no answer comes, the run's next rows are asked
+    until one does. The memo keeps its reading and verdict over runs without an answer: a run with
+    the reading that is still in it takes the old verdict.
+    """
+    line = tick_line(signals.width)
+    prompt = sentiment_prompt(horizon_s)
+    asked = ask(runs.filter("head"), prompt, signals.model, "_reply")
+    heads = cut(asked.select("symbol", "ts", "trade_id", "reading", parsed_verdict(F.col("_reply"), FAST_CAP).alias("got")))
+    failed = heads.filter("got IS NULL").select("symbol", F.struct("ts", "trade_id").alias("run"))
+    if failed.isEmpty():
+        return heads.select("symbol", "ts", "trade_id", F.struct(F.col("got").alias("v")).alias("event"))
+    placed = fill(runs, line, F.when(F.col("head"), F.struct("ts", "trade_id")), "run")
+    rest = placed.filter("NOT head").join(failed, ["symbol", "run"], "left_semi")
+    late = cut(first_answers(rest, prompt, signals.model))
+    late = late.select(
+        "symbol", F.col("run_ts"), F.col("run_id"), F.struct("ts", "trade_id").alias("late_at"), parsed_verdict(F.col("_reply"), FAST_CAP).alias("late")
+    ).filter("late IS NOT NULL")
+    run = heads.withColumnsRenamed({"ts": "run_ts", "trade_id": "run_id"}).join(late, ["symbol", "run_ts", "run_id"], "left")
+    run = run.withColumnsRenamed({"run_ts": "ts", "run_id": "trade_id"}).withColumn("verdict", F.coalesce("got", "late"))
+    # Of answered runs in a row with one reading, only the first was really asked: its verdict is the memo's.
+    answered = previous(run.filter("verdict IS NOT NULL"), line, F.col("reading"), "before")
+    first = F.when(~F.col("before").eqNullSafe(F.col("reading")), F.struct(F.col("verdict").alias("v")))
+    answered = fill(answered, line, first, "kept").select("symbol", "ts", "trade_id", F.struct("reading", F.col("kept.v").alias("v")).alias("memo"))
+    run = cut(fill(run.join(answered, ["symbol", "ts", "trade_id"], "left"), line, F.col("memo"), "after"))
+    run = previous(run, line, F.col("after"), "held")
+    same = F.col("held.reading").eqNullSafe(F.col("reading")) & F.col("held").isNotNull()
+    at_head = run.select("symbol", "ts", "trade_id", F.struct(F.when(same, F.col("held.v")).otherwise(F.col("got")).alias("v")).alias("event"))
+    at_late = run.filter(~same & F.col("late").isNotNull()).select(
+        "symbol", F.col("late_at.ts").alias("ts"), F.col("late_at.trade_id").alias("trade_id"), F.struct(F.col("late").alias("v")).alias("event")
+    )
+    return cut(at_head.unionByName(at_late))
+
+
 def parsed_verdict(reply: Column, cap: float) -> Column:
     """The closing JSON verdict of a reply, clamped; null when there is none."""
     yhat, confidence = (verdict_number(last_json_object(reply), name) for name in ("yhat", "confidence"))
@@ -261,8 +346,9 @@ def sentiment_verdicts(features: DataFrame, signals: Signals, horizon_s: int = 6
     """A verdict on features plus crowd sentiment, reused while the reading is unchanged.
 
     Authored verdicts are looked up per symbol. Otherwise only the first row of each run goes
-    to the model; its verdict is joined back on the row's own key and carried forward. A
-    failed call carries nothing, so its run has no forecast until the next run.
+    to the model; its verdict is joined back on the row's own key and carried forward. After a
+    failed call the run's next row is asked, and rows before the first answer have no forecast
+    (see ``verdict_events``).
     """
     if signals.sentiment is None:
         return None
@@ -278,16 +364,9 @@ def sentiment_verdicts(features: DataFrame, signals: Signals, horizon_s: int = 6
     else:
         # Cut, because several branches read both, and a model must be asked only once.
         runs = cut(verdict_runs(rows, signals.width))
-        heads = ask(runs.filter("head"), sentiment_prompt(horizon_s), signals.model, "_reply")
-        verdicts = cut(
-            heads.select(
-                "symbol", "ts", "trade_id", parsed_verdict(F.col("_reply"), FAST_CAP).alias("_got")
-            )
-        )
-        joined = runs.join(verdicts, ["symbol", "ts", "trade_id"], "left")
-        held = F.when(F.col("head"), F.struct(F.col("_got").alias("v")))
+        joined = runs.join(verdict_events(runs, signals, horizon_s), ["symbol", "ts", "trade_id"], "left")
         answered = (
-            fill(joined, tick_line(signals.width), held, "_held")
+            fill(joined, tick_line(signals.width), F.col("event"), "_held")
             .withColumn("_verdict", F.col("_held.v"))
             .filter(F.col("_verdict").isNotNull())
         )

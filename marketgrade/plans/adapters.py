@@ -21,9 +21,11 @@ def epoch_ms(ts: Column) -> Column:
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").withColumn(
-        "ms", epoch_ms(F.col("ts").cast("timestamp_ntz"))
-    )
+    return with_ms(table(spark, folder, "events"))
+
+
+def with_ms(events: DataFrame) -> DataFrame:
+    return events.withColumn("ms", epoch_ms(F.col("ts").cast("timestamp_ntz")))
 
 
 def ticks(spark: SparkSession, folder: str, symbol: str = "event_type") -> DataFrame:
@@ -65,11 +67,15 @@ def bars(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
+    return as_messages(table(spark, folder, "events"))
+
+
+def as_messages(events: DataFrame) -> DataFrame:
     """Events as labelled messages of a user."""
     label = F.when(F.col("event_type") == "click", "Bullish").when(
         F.col("event_type") == "error", "Bearish"
     )
-    return events(spark, folder).select(
+    return with_ms(events).select(
         F.col("user_id").cast("string").alias("symbol"),
         F.col("ms").alias("ts"),
         F.col("event_id").alias("message_id"),

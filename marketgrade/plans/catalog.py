@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +30,7 @@ from ..operators import features as FX
 from ..operators import leaderboard as L
 from ..operators.timeline import DAY_MS
 from ..schemas import decode, encode
-from ..session import ROCKSDB, checkpoint_root, cut, ship_package
+from ..session import ROCKSDB, cut, scratch_folder, ship_package
 from ..sources import feeds, lake, payloads
 from ..streaming import jobs
 from . import adapters as A
@@ -356,10 +356,17 @@ def sentiment_forecasts(spark, folder):
     return rounded(made)
 
 
+def reading_model(prompts: pd.Series) -> pd.Series:
+    """A model that reads its numbers out of the prompt, and gives no answer at every fifth RSI."""
+    found = prompts.str.extract(r"from (\d+) messages .*RSI (\d+),").astype("int64")
+    reply = 'It looks so: {"yhat": ' + ((found[1] - 50) / 997).astype(str) + ', "confidence": "' + (found[0] % 13 / 10).astype(str) + '"}'
+    return reply.mask(found[1] % 5 == 3, "no idea")
+
+
 @query
 def model_forecasts(spark, folder):
-    """Verdicts of the default model, asked once per run of equal readings."""
-    given = strategies.Signals(sentiment=snapshots(spark, folder))
+    """Verdicts of a model, asked once per run of equal readings, and again after a failed answer."""
+    given = strategies.Signals(sentiment=snapshots(spark, folder), model=reading_model)
     made = strategies.sentiment_verdicts(cut(features(spark, folder)), given)
     return rounded(made)
 
@@ -1054,7 +1061,7 @@ def price_history(spark, folder):
 def tick_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The events table as a file stream of ticks."""
     schema = A.table(spark, folder, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{folder}/events*.parquet")
+    events = spark.readStream.schema(schema).parquet(f"{folder}/events.parquet*")
     return events.select(
         F.col("event_type").alias("symbol"),
         A.epoch_ms(F.col("ts").cast("timestamp_ntz")).alias("ts"),
@@ -1069,7 +1076,7 @@ def drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
 
     Output and stream checkpoint go to the shared checkpoint folder.
     """
-    base = f"{checkpoint_root(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = scratch_folder(spark, "stream")
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, ROCKSDB)
@@ -1115,3 +1122,23 @@ def stream_standings(spark, folder):
     """Two stateful steps in one stream: scores, then rolling standings of the strategy."""
     rows = drained(spark, jobs.leaderboard(stream_scored(spark, folder)))
     return rounded(rows.select("strategy_id", "scored_ts", "seq", "n", "dir_acc", "mean_confidence"))
+
+
+@query
+def stream_forecasts(spark, folder):
+    """Ticks to features to a model's forecasts, two stateful steps, with snapshots as a second stream."""
+    path = scratch_folder(spark, "snapshots")
+    snapshots(spark, folder).write.parquet(path)
+    seen = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    rows = jobs.features(tick_stream(spark, folder))
+    return rounded(drained(spark, jobs.verdict_forecasts(rows, seen, reading_model)))
+
+
+@query
+def stream_sentiment(spark, folder):
+    """The last counts of each symbol, over its newest messages."""
+    schema = A.table(spark, folder, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{folder}/events.parquet*")
+    counts = drained(spark, jobs.message_counts(A.as_messages(events)))
+    last = counts.groupBy("symbol").agg(F.max_by(F.struct(*counts.columns), "updates").alias("last")).select("last.*")
+    return sentiment.with_shares(last.drop("updates"))

@@ -240,9 +240,33 @@ SELECT symbol, ts, trade_id, snap_ts, reading IS DISTINCT FROM
   lag(reading) OVER (PARTITION BY symbol ORDER BY ts, trade_id) AS head FROM k""")
 oracle("sentiment_forecasts", f"WITH {TK}, {SENT}, {VERDICTS}, {SENTIMENT_FORECASTS} SELECT {FORECAST_COLUMNS} FROM se")
 oracle("model_forecasts", f"""
-WITH {TK}, {SENT} SELECT t.symbol, CAST(60 AS INTEGER) AS horizon_s, 0.0::DOUBLE AS yhat, 0.0::DOUBLE AS confidence,
-  'sentiment_llm' AS strategy_id, t.ts, 'v0' AS model_ver, {r('t.price')} AS ref_price, t.trade_id
-FROM tk t ASOF JOIN snap s ON t.symbol = s.symbol AND t.ts >= s.snap_ts""")
+WITH RECURSIVE {FEATS}, {SENT},
+qb AS (SELECT f.*, s.snap_ts, s.score, s.n AS said, CAST(round(coalesce(rsi, 50.0)) AS INTEGER) AS tone
+  FROM f ASOF JOIN snap s ON f.symbol = s.symbol AND f.ts >= s.snap_ts),
+qk AS (SELECT *, tone % 5 <> 3 AS answered, row_number() OVER w AS place,
+        concat_ws('|', snap_ts, round_even(score, 1) + 0.0, round_even(coalesce(rsi, 50.0) / 5.0, 0),
+          round_even(coalesce({SPREAD}, 0.0) * 1000, 0) + 0.0) AS reading
+  FROM qb WINDOW w AS (PARTITION BY symbol ORDER BY ts, trade_id)),
+qh AS (SELECT *, reading IS DISTINCT FROM lag(reading) OVER (PARTITION BY symbol ORDER BY place) AS head FROM qk),
+qu AS (SELECT *, sum(head::INT) OVER (PARTITION BY symbol ORDER BY place) AS run FROM qh),
+qg AS (SELECT symbol, run, any_value(reading) AS reading, min(place) FILTER (WHERE answered) AS first,
+        arg_min((tone - 50) / 997.0::DOUBLE, place) FILTER (WHERE answered) AS yhat,
+        arg_min((said % 13) / 10.0::DOUBLE, place) FILTER (WHERE answered) AS confidence
+  FROM qu GROUP BY symbol, run),
+qa AS (SELECT *, reading IS DISTINCT FROM lag(reading) OVER (PARTITION BY symbol ORDER BY run) AS asked FROM qg WHERE first IS NOT NULL),
+qm AS (SELECT symbol, run, reading,
+        last_value(CASE WHEN asked THEN yhat END IGNORE NULLS) OVER w AS yhat,
+        last_value(CASE WHEN asked THEN confidence END IGNORE NULLS) OVER w AS confidence
+  FROM qa WINDOW w AS (PARTITION BY symbol ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+qe AS (SELECT g.*, m.reading AS held, m.yhat AS held_yhat, m.confidence AS held_confidence
+  FROM qg g ASOF LEFT JOIN qm m ON g.symbol = m.symbol AND g.run > m.run),
+qv AS (SELECT u.*, CASE WHEN held = e.reading THEN held_yhat WHEN place >= first THEN e.yhat END AS yhat,
+        CASE WHEN held = e.reading THEN held_confidence WHEN place >= first THEN e.confidence END AS confidence
+  FROM qu u JOIN qe e ON u.symbol = e.symbol AND u.run = e.run)
+SELECT symbol, CAST(60 AS INTEGER) AS horizon_s, {r('greatest(-0.05::DOUBLE, least(0.05::DOUBLE, yhat))')} AS yhat,
+  {r('least(1.0::DOUBLE, confidence)')} AS confidence, 'sentiment_llm' AS strategy_id, ts, 'v0' AS model_ver,
+  {r('last_price')} AS ref_price, trade_id
+FROM qv WHERE yhat IS NOT NULL""")
 oracle("edge_forecasts", f"""
 WITH {TK} SELECT symbol, ts, trade_id, {r('(volume / 99.0 - 0.5) * 2 * 0.01')} AS yhat,
   {r('least(1.0, abs(volume / 99.0 - 0.5) * 2)')} AS confidence FROM tk""")
@@ -642,3 +666,5 @@ WITH {BY_NAME} SELECT symbol, strategy_id, CAST(3600 AS INTEGER) AS horizon_s, {
 oracle("stream_standings", f"""
 WITH {BY_NAME}, {rolled(200)} SELECT strategy_id, scored_ts, seq, CAST(n AS INTEGER) AS n, {r('dir_acc')} AS dir_acc,
   {r('mean_confidence')} AS mean_confidence FROM roll WHERE strategy_id = 'volume_up'""")
+oracle("stream_forecasts", ORACLES["model_forecasts"])
+oracle("stream_sentiment", ORACLES["message_counts"])
