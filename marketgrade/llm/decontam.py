@@ -19,8 +19,8 @@ from ..session import stored
 from .common import arrow_schema, as_batch
 
 K1, B = 1.2, 0.75
-#: Items that share one upper bound in a posting list.
-BLOCK_ITEMS = 8
+#: Items that share one upper bound in a posting list; more of them, being unrelated, let too many passages through.
+BLOCK_ITEMS = 2
 #: Words of a passage; half of them are the next passage's first words.
 PASSAGE_WORDS = 128
 #: Longest piece of an item that is indexed as one unit; half a passage, so that some passage holds it whole.
@@ -31,6 +31,8 @@ SCORE_SHARE = 0.5
 SHINGLE, QUESTION_SHARE, ANSWER_SHARE = 5, 0.5, 0.5
 #: Bytes of item text (UTF-8) in one index; more items are indexed and searched part by part.
 PART_BYTES = 4 << 20
+#: Above the rounding of a sum of single-precision bounds over the terms of a passage.
+BOUND_SLACK = 1e-4
 #: Cells, at most, of a dense table of block bounds; a larger one is kept sparse.
 TABLE_CELLS = 4 << 20
 
@@ -189,7 +191,7 @@ class Index:
         for start in starts.tolist():
             terms = np.unique(known[start : start + PASSAGE_WORDS])
             terms = terms[terms >= 0]
-            if len(terms) and self.highest_bound(terms, table) >= SCORE_SHARE - 1e-6:
+            if len(terms) and self.highest_bound(terms, table) >= SCORE_SHARE - BOUND_SLACK:
                 retrieved.update(self.owner[u] for u in self.search(terms.tolist(), SCORE_SHARE))
         if not retrieved:
             return
