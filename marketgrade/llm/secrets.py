@@ -33,7 +33,8 @@ NAME_DISCOUNTS = ("length", "len", "count", "size", "name", "file", "path", "url
 #: Name weight times literal weight that makes a secret.
 LEAST_SCORE = 0.5
 
-_STEMS = ("pass", "pwd", "secret", "token", "key", "cred", "bearer", "auth", "signature")
+#: A name without any of these weighs nothing: the weighted words that hold no other one.
+_STEMS = tuple(w for w in NAME_WEIGHTS if not any(v != w and v in w for v in NAME_WEIGHTS))
 _LEX = re.compile(
     r"""(?P<comment>(?:^|(?<=\s))(?:\#|//)[^\n]*)
     |(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)

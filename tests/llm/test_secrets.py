@@ -62,3 +62,14 @@ def test_what_is_no_secret():
 def test_a_base_span_is_not_found_twice():
     text = 'secret = "abcdefgh12345"'
     assert [x["base"] for x in secrets.scan(text)] == [True]
+
+
+def test_other_text_changes_no_span(spark):
+    texts = ["private_access = 'aB3xY9kLm2Qz'", "signingMaster: \"Zx81kQ02mmPa\"", "client = 'aB3xY9kLm2Qz'", "encryption_api='9fK2-xLq0Ty7b'"]
+    rows = [(i, t + more) for i, t in enumerate(texts) for more in ("", "\nsee the key here, no more", "\n\nwords = and words")]
+    found = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = {}
+    for r in found:
+        by.setdefault(r.doc_id, set()).add(tuple((s.kind, s.start, s.end) for s in r.spans))
+    assert all(len(spans) == 1 for spans in by.values())
+    assert sum(bool(next(iter(spans))) for spans in by.values()) >= 2
