@@ -90,7 +90,8 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     record; its header gives the offset of its successor. A piece list per file, without the
     payloads, goes to one task, where pointer jumping from the file's start keeps the reachable
     candidates in a logarithmic number of steps. Magic lines inside payloads are not reached;
-    a payload that holds some is put together again from its pieces.
+    a payload that holds some is put together again from its pieces, which are found by their
+    digest, so that files may be split anew at any time.
 
     A record whose length does not lead to another record or to the end of the file ends the
     chain: what follows in that file is not returned. A missing header field is null. An empty
@@ -100,13 +101,17 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     if not _has_files(spark, folder):
         return spark.createDataFrame([], f"page_id long, {_FIELDS.removeprefix('id long, ')}, file string, offset long")
     pieces = _pieces(spark, folder)
-    light = pieces.select("file", "block", "n", F.octet_length("value").cast("long").alias("size"), *_parsed())
+    mark = F.sha1("value").alias("mark")
+    light = pieces.select("file", "block", "n", F.octet_length("value").cast("long").alias("size"), mark, *_parsed())
     chain = stored(light.groupBy("file").applyInArrow(_verified, f"{_KEYS}, {_FIELDS}"), "chain")
     whole = chain.where("parts = 1").select("file", "offset", *_names())
-    split = chain.where("parts > 1").select("file", "block", "n", "offset", "part")
+    split = chain.where("parts > 1").select("file", "offset", "part", "mark")
     if not split.isEmpty():
+        # The files are read again, and maybe in other splits, so pieces are known by what they hold.
+        wanted = split.select("mark").distinct()
+        texts = pieces.select(mark, "value").join(wanted, "mark", "left_semi").dropDuplicates(["mark"])
         texts = (
-            pieces.join(split, ["file", "block", "n"])
+            split.join(texts, "mark")
             .groupBy("file", "offset")
             .agg(F.array_sort(F.collect_list(F.struct("part", "value"))).alias("found"))
             .select("file", "offset", F.array_join(F.col("found.value"), MAGIC).alias("value"))
@@ -115,7 +120,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     return whole.withColumnRenamed("id", "page_id").select("page_id", *_names()[1:], "file", "offset")
 
 
-_KEYS = "file string, block long, n long, offset long, part int, parts int"
+_KEYS = "file string, mark string, offset long, part int, parts int"
 _FIELDS = "id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
 
@@ -206,8 +211,7 @@ def _verified(table: pa.Table) -> pa.Table:
     kept = table.take(pa.array(pick))
     columns = {
         "file": kept.column("file"),
-        "block": kept.column("block"),
-        "n": kept.column("n"),
+        "mark": kept.column("mark"),
         "offset": pa.array(np.repeat(starts[chain], parts), pa.int64()),
         "part": pa.array(pick - np.repeat(chain, parts), pa.int32()),
         "parts": pa.array(np.repeat(parts, parts), pa.int32()),

@@ -64,6 +64,20 @@ def test_magic_lines_in_payloads(spark, tmp_path, split):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_splits_may_change_before_the_rows_are_read(spark, tmp_path):
+    rows = [(i, "http://a/", f"page {i} WARC/1.1\r\n {i % 7} WARC/1.1\r\n" + "x" * (37 * i)) for i in range(60)]
+    warc.write_archives(spark.createDataFrame(rows, SCHEMA).coalesce(1), str(tmp_path / "a"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        found = warc.read_archives(spark, str(tmp_path / "a"))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        got = found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(map(tuple, got), key=str) == expected(rows)
+
+
 def test_files_are_whole_records(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([(1, "http://a/", "<p>é</p>")], SCHEMA), str(tmp_path / "a"))
     (file,) = [p for p in (tmp_path / "a").iterdir() if p.name.startswith("part-") and p.stat().st_size]
