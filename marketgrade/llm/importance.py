@@ -11,10 +11,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import stored
 from .common import arrow_schema, as_batch, fresh, with_field
 
+#: Tokens, at most, whose hashes a task keeps.
+KNOWN_WORDS = 200_000
 #: Slots of the hashed n-gram models.
 SLOTS = 1 << 15
 #: Share of the raw model in the target model, which bounds the ratio where the target has seen little.
@@ -23,6 +26,8 @@ RAW_SHARE = 0.4
 LABELLED_ROWS = 20_000
 #: How much more a lost clean document weighs than a kept bad one.
 CLEAN_WEIGHT = 4.0
+#: N-grams that a text counts as, whatever its length, where the cut per n-gram sets the sample's size.
+TEMPERATURE = 500.0
 SEED = 20_240
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -43,7 +48,7 @@ def ngram_slots(text: str | None, known: dict[str, int], slots: int = SLOTS) ->
     Tokens are runs of word characters and runs of marks; case is kept, as shouting tells.
     """
     words = _TOKEN.findall(text or "")
-    if len(known) > 1_000_000:
+    if len(known) > KNOWN_WORDS:
         known.clear()
     hashes = np.empty(len(words), np.uint64)
     for i, w in enumerate(words):
@@ -118,7 +123,10 @@ def fit(
             if found:
                 yield as_batch(found, arrow_schema(good=pa.bool_(), weight=pa.float64()))
 
-    seen = rows.where(F.col("id").isNotNull()).mapInArrow(weigh, "good boolean, weight double").collect()
+    # At most ``labelled_rows`` ids, so their list is bounded.
+    ids = rows.sparkSession.createDataFrame([(i,) for i in label], StructType([rows.schema["id"]]))
+    chosen = rows.join(F.broadcast(ids), "id", "left_semi")
+    seen = chosen.mapInArrow(weigh, "good boolean, weight double").collect()
     return Model(ratio, best_cut(np.array([r.weight for r in seen]), np.array([r.good for r in seen], bool)))
 
 
@@ -145,19 +153,19 @@ def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
     return float(edges[np.argmax(rejected_bad - CLEAN_WEIGHT * lost_good)])
 
 
-def weighed(docs: DataFrame, model: Model, text_col: str, weight: str, margin: str) -> DataFrame:
-    """``docs`` plus each text's log importance weight, and what it has above the cut of all its n-grams."""
-    ratio, cut = model.ratio, model.cut if np.isfinite(model.cut) else 0.0
+def weighed(docs: DataFrame, model: Model, text_col: str, weight: str, mean: str) -> DataFrame:
+    """``docs`` plus each text's log importance weight, in all and per n-gram."""
+    ratio = model.ratio
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in batches:
             slots = (ngram_slots(t.as_py(), known, len(ratio)) for t in batch.column(text_col))
-            made = [(w := float(ratio[at].sum()), w - cut * len(at)) for at in slots]
+            made = [(w := float(ratio[at].sum()), w / max(len(at), 1)) for at in slots]
             added = [pa.array([m[i] for m in made], pa.float64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, weight, margin])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, weight, mean])
 
-    return docs.mapInArrow(run, with_field(with_field(docs.schema, weight, "double"), margin, "double"))
+    return docs.mapInArrow(run, with_field(with_field(docs.schema, weight, "double"), mean, "double"))
 
 
 def resample(
@@ -172,10 +180,11 @@ def resample(
 ) -> DataFrame:
     """The ``k`` documents with the largest log weight plus Gumbel noise: a sample without replacement.
 
-    The noise is a hash of the id, so the sample is the same on every run. Without ``k`` every
-    n-gram of a document is weighed against the model's cut: the key is the log weight less the
-    cut for each n-gram, plus the noise, and ``k`` the number of documents that reach the cut.
-    A cut of minus infinity keeps everything. Result: all columns of ``docs``, log_weight and
+    The noise is a hash of the id, so the sample is the same on every run. Without ``k`` the
+    sample is as large as the number of documents whose log weight per n-gram reaches the
+    model's cut, and the log weight in the key is that of ``TEMPERATURE`` n-grams of the
+    document's mean, so that long and short texts are drawn alike. A cut of minus infinity keeps
+    everything. Texts are weighed once: the weighed rows are stored in the shared folder. Result: all columns of ``docs``, log_weight and
     gumbel_key (with a leading underscore where taken).
 
     The k-th key is found by counting keys by their leading 16 bits, four times; nothing is
@@ -186,15 +195,14 @@ def resample(
     or k = 0, gives an empty result.
     """
     model = model or fit(docs, labels, id_col, text_col, label_col)
-    weight, key, margin = fresh(docs, "log_weight"), fresh(docs, "gumbel_key"), fresh(docs, "cut_margin")
+    weight, key, mean = fresh(docs, "log_weight"), fresh(docs, "gumbel_key"), fresh(docs, "mean_weight")
     uniform = (F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(seed)), 11) + 0.5) * 2.0**-53
-    score = F.col(weight if k is not None else margin)
-    keyed = weighed(docs, model, text_col, weight, margin).withColumn(key, score - F.log(-F.log(uniform)))
-    keys = stored(keyed.select(F.col(margin).alias("margin"), F.col(key).alias("key")), "keys")
-    keyed = keyed.drop(margin)
+    score = F.col(weight) if k is not None else F.col(mean) * TEMPERATURE
+    keyed = stored(weighed(docs, model, text_col, weight, mean).withColumn(key, score - F.log(-F.log(uniform))), "weighed")
     if k is None:
-        k = keys.where(F.col("margin") >= 0).count() if np.isfinite(model.cut) else keys.count()
-    cutoff = kth_largest(keys.select("key"), k)
+        k = keyed.where(F.col(mean) >= model.cut).count() if np.isfinite(model.cut) else keyed.count()
+    cutoff = kth_largest(keyed.select(key), k)
+    keyed = keyed.drop(mean)
     return keyed.limit(0) if cutoff is None else keyed.where(F.col(key) >= cutoff)
 
 
