@@ -17,6 +17,8 @@ from .common import LOWER, SPACES, UPPER, components, fresh, in_batches
 
 #: Shingles, about, of the documents that one prefix tree holds.
 BLOCK_SHINGLES = 200_000
+#: Words, at most, whose hashes a task keeps.
+KNOWN_WORDS = 200_000
 
 _FOLD = str.maketrans(UPPER, LOWER)
 _TO_SPACE = {ord(c): " " for c in SPACES}
@@ -28,7 +30,7 @@ def shingle_set(text: str | None, size: int, known: dict[str, int]) -> np.ndarra
     words = [w for w in (text or "").translate(_FOLD | _TO_SPACE).split(" ") if w]
     if not words:
         return np.zeros(0, np.int64)
-    if len(known) > 1_000_000:
+    if len(known) > KNOWN_WORDS:
         known.clear()
     hashes = np.empty(len(words), np.uint64)
     for i, w in enumerate(words):
@@ -119,7 +121,7 @@ def part_size(n: int, percent: int) -> int:
 
 
 def _signatures(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    schema = pa.schema([("id", pa.int64()), ("size", pa.int32()), ("mark", pa.binary()), ("least", pa.int32()), ("part", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("size", pa.int32()), ("mark", pa.binary()), ("least", pa.int32()), ("p", pa.int32()), ("part", pa.list_(pa.int64()))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         known: dict[str, int] = {}
@@ -128,13 +130,14 @@ def _signatures(docs: DataFrame, words: int, percent: int, id_col: str, text_col
                 own = shingle_set(text.as_py(), words, known)
                 n = len(own)
                 mark = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-                yield key, n, mark, least_shared(n, percent), own[: part_size(n, percent)].tolist()
+                part = own[: part_size(n, percent)].tolist()
+                yield key, n, mark, least_shared(n, percent), len(part), part
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return in_batches(rows(batches), schema)
 
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return whole.mapInArrow(run, "id long, size int, mark binary, least int, part array<long>")
+    return whole.mapInArrow(run, "id long, size int, mark binary, least int, p int, part array<long>")
 
 
 def _routed(marks: DataFrame, first: DataFrame, percent: int) -> DataFrame:
@@ -145,13 +148,10 @@ def _routed(marks: DataFrame, first: DataFrame, percent: int) -> DataFrame:
     set has take places in that order but lead nowhere.
     """
     chosen = marks.join(first.select(F.col("first").alias("id"), "mark"), ["id", "mark"], "left_semi")
-    hashes = chosen.select("id", "size", "least", F.size("part").alias("p"), F.explode("part").alias("token"))
+    hashes = chosen.select("id", F.explode("part").alias("token"))
     shared = hashes.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    own = (
-        hashes.join(shared, "token")
-        .groupBy("id", "size", "least", "p")
-        .agg(F.sort_array(F.collect_set(F.struct("n", "token"))).alias("own"))
-    )
+    own = hashes.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("n", "token"))).alias("own"))
+    own = own.join(chosen.select("id", "size", "least", "p"), "id")
     places = F.col("p") - F.col("least") + 1 - (F.col("p") - F.size("own"))
     own = own.where((F.size("own") >= F.col("least")) & (places > 0))
     return own.select("id", "size", F.explode(F.slice("own", 1, places)).alias("h")).select("id", "size", "h.token")
