@@ -18,6 +18,8 @@ from .common import arrow_schema, as_batch, in_batches, with_field
 
 #: Characters of text whose words share one dictionary.
 BLOCK_CHARS = 8_000_000
+#: Words, at most, that a task keeps with their ids from one block to the next.
+KNOWN_WORDS = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -61,6 +63,7 @@ def encode(
         .saveAsTable(name)
     )
     blocks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, and no entry is left in the catalog
     words = blocks.where("shard IS NOT NULL").select("block", "shard", "at", "lengths", "words")
     coded = words.repartition(width, "shard").mapInArrow(_word_function(ranks), "block long, at binary, sizes binary, ids binary")
     places = blocks.where("shard IS NULL").select("block", "id", "places")
@@ -165,6 +168,8 @@ def _word_function(ranks: dict[bytes, int]):
             rows = []
             for block, at, lengths, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "at", "lengths", "words")), strict=True):
                 data, made, start = zlib.decompress(packed), [], 0
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
                 for end in np.cumsum(_unpack(lengths)).tolist():
                     word = data[start:end]
                     ids = known.get(word)
