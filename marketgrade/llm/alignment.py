@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_folder, stored
-from .byte_level import ByteLevel
+from .byte_level import ByteLevel, piece_encoder
 from .common import arrow_schema
 
 #: Characters of text whose documents share one block of pair counts.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
 #: Token ends, of both sides together, in one piece of the merge.
 PIECE = 16_384
 #: Between the byte places of two pieces that are merged in one go.
@@ -157,7 +157,8 @@ def _cut_function(sides: Sides, block_chars: int, step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
-        encode_a, model = sides.first.encoder(), sentencepiece.SentencePieceProcessor(model_proto=sides.second)
+        encode_a = sides.first.encoder(lead=True)
+        encode_b = piece_encoder(sentencepiece.SentencePieceProcessor(model_proto=sides.second))
         table_a, table_b = (pa.array(t, pa.binary()) for t in (sides.bytes_a(), sides.bytes_b()))
         lengths = [pc.binary_length(t).to_numpy() for t in (table_a, table_b)]
         task, block, held, no = TaskContext.get().partitionId() << 32, 0, 0, 0
@@ -169,7 +170,7 @@ def _cut_function(sides: Sides, block_chars: int, step: int):
                     continue
                 cut = batch.slice(int(own[0]), len(own))
                 texts = cut.column("text").to_pylist()
-                ids_a, ids_b = _spelled(texts, encode_a([" " + t for t in texts]), model.encode(texts, num_threads=1), table_a, table_b)
+                ids_a, ids_b = _spelled(texts, encode_a(texts), encode_b(texts), table_a, table_b)
                 yield _pieces(cut.column("id"), ids_a, ids_b, *lengths, step, task | block, no)
                 no += len(texts)
                 held += int(sizes[own].sum())
@@ -180,17 +181,29 @@ def _cut_function(sides: Sides, block_chars: int, step: int):
 
 
 def _spelled(texts: list[str], ids_a: list, ids_b: list, table_a: pa.Array, table_b: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Both sides' ids as arrays, without any where a text is empty or the tokens spell something else."""
-    none = np.zeros(0, np.int32)
-    out_a, out_b = [], []
-    for text, a, b in zip(texts, ids_a, ids_b, strict=True):
-        a, b = np.array(a, np.int32), np.array(b, np.int32)
-        whole = (" " + text).encode()
-        if not text or b"".join(table_a.take(pa.array(a)).to_pylist()) != whole or b"".join(table_b.take(pa.array(b)).to_pylist()) != whole:
-            a = b = none
-        out_a.append(a)
-        out_b.append(b)
-    return out_a, out_b
+    """Both sides' ids, without any where a text is empty or the tokens spell something else."""
+    whole = [(" " + t).encode() if t else b"" for t in texts]
+    ids_a, ids_b = ([x if w else x[:0] for x, w in zip(ids, whole, strict=True)] for ids in (ids_a, ids_b))
+    want = b"".join(whole)
+    if all(_bytes(np.concatenate(ids), table) == want for ids, table in ((ids_a, table_a), (ids_b, table_b))):
+        lengths = [_byte_lengths(ids, table) for ids, table in ((ids_a, table_a), (ids_b, table_b))]
+        if all(n == [len(w) for w in whole] for n in lengths):
+            return ids_a, ids_b
+    same = [_bytes(a, table_a) == w == _bytes(b, table_b) for a, b, w in zip(ids_a, ids_b, whole, strict=True)]
+    return tuple([x if s else x[:0] for x, s in zip(ids, same, strict=True)] for ids in (ids_a, ids_b))
+
+
+def _bytes(ids: np.ndarray, table: pa.Array) -> bytes:
+    if not len(ids):
+        return b""
+    taken = table.take(pa.array(ids))
+    return taken.buffers()[2][: int(np.frombuffer(taken.buffers()[1], np.int32)[len(ids)])].to_pybytes()
+
+
+def _byte_lengths(ids: list[np.ndarray], table: pa.Array) -> list[int]:
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(table).to_numpy()[np.concatenate(ids)])])
+    places = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+    return np.diff(ends[places]).tolist()
 
 
 def _pieces(keys: pa.Array, ids_a: list, ids_b: list, length_a: np.ndarray, length_b: np.ndarray, step: int, block: int, no: int) -> pa.RecordBatch:

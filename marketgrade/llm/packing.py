@@ -49,8 +49,8 @@ def token_pieces(
     return rows.mapInArrow(run, f"uid long, id {kind}, piece int, start long, length int, ids binary").withColumnRenamed("id", id_col)
 
 
-def _pieces(keys: pa.Array, ids: list[list[int]], end_id: int, size: int, base: int) -> pa.RecordBatch:
-    flat = np.concatenate([np.array([*x, end_id], "<u4") for x in ids])
+def _pieces(keys: pa.Array, ids: list[np.ndarray], end_id: int, size: int, base: int) -> pa.RecordBatch:
+    flat = np.concatenate([y for x in ids for y in (x, [end_id])]).astype("<u4")
     total = np.array([len(x) + 1 for x in ids], np.int64)
     count = -(-total // size)
     owner = np.repeat(np.arange(len(ids)), count)

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -113,8 +114,13 @@ def test_across_is_best_fit_over_ranges():
     assert served == {1: 2, 2: 2}
 
 
-def test_plain_characters_are_cut_alike(tokens):
+def test_words_give_the_same_ids(tokens):
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    chars = [c for c in map(chr, range(0x250)) if byte_level._PLAIN(c)]
-    texts = [f"a{c} b{c}{c}1{c} {c}\n{c}  {c}é'{c}s {c}" for c in chars] + ["".join(chars), "a" * 500, "'s 's'LL don't", "1234567 " * 9]
-    assert tokens.encoder()(texts) == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    chars = list(map(chr, range(0x250)))
+    texts = [f"a{c} b{c}{c}1{c} {c}\n{c}  {c}é'{c}s {c}" for c in chars] + [f"a{c} {c}b {c}" for c in chars] + [f"{c}b c{c}" for c in chars]
+    texts += ["".join(chars), "a" * 500, "'s 's'LL don't", "1234567 " * 9, " a", "a ", "a\n b", "a \nb", "a\n\n b  c", "", " ", "\n", "x\t y"]
+    for lead in (False, True):
+        want = [library.encode(" " + t if lead else t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in tokens.encoder(lead)(texts)] == want
+    assert [x.tolist() for x in byte_level.piece_encoder(model)(texts)] == model.encode(texts)
