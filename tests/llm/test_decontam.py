@@ -114,3 +114,27 @@ def test_parts_nulls_and_empty_tables(spark, monkeypatch):
     assert decontam.leaks(docs, benchmark.limit(0)).collect() == []
     assert decontam.leaks(docs.limit(0), benchmark).collect() == []
     assert decontam.decontaminated(docs, benchmark.limit(0)).count() == 4
+
+
+def test_block_size_changes_no_find(spark, monkeypatch):
+    """Block-max bounds drop nothing: any block size finds what scoring every unit finds."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(300).collect()
+    texts = [r.text or "" for r in docs] + [f"{items[i][1]} {items[i + 1][1][:80]}" for i in range(0, min(40, len(items) - 1), 3)]
+    found = {}
+    for size in (1, 2, 3, 8):
+        monkeypatch.setattr(decontam, "BLOCK_ITEMS", size)
+        index = decontam.Index(items)
+        table = index.dense_bounds()
+        found[size] = [[n for n, _, _ in index.leaks(t, table)] for t in texts]
+        if size == 2:
+            assert [[n for n, _, _ in index.leaks(t, None)] for t in texts] == found[size]
+            for text in texts[-10:]:
+                terms = sorted({index.term[w] for w in decontam.words_of(text)[: decontam.PASSAGE_WORDS] if w in index.term})
+                score = {}
+                for t in terms:
+                    for u, s in zip(index.units[t], index.impacts[t], strict=True):
+                        score[u] = score.get(u, 0.0) + s
+                assert index.search(terms, 0.5) == sorted(u for u, s in score.items() if s >= 0.5 - 1e-9)
+    assert found[1] == found[2] == found[3] == found[8]
+    assert any(found[1][-5:])
