@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .recurrence import block_length, decay, shared_length, span_alpha
-from .timeline import BUCKET, HOUR_MS, Timeline
+from .timeline import BUCKET, HOUR_MS, Timeline, once
 
 FEATURES = ("ema_fast", "ema_slow", "vwap", "ret_1", "vol", "rsi")
 
@@ -74,9 +74,9 @@ def _ordered(ticks: DataFrame, line: Timeline) -> DataFrame:
     seq = line.window()
     price, prev = F.col("price"), F.col("_prev")
     usable = prev.isNotNull() & (prev != 0)
+    rows = ticks.select("symbol", "ts", "trade_id", "price", "volume")
     return (
-        ticks.select("symbol", "ts", "trade_id", "price", "volume")
-        .withColumn(BUCKET, line.bucket())
+        once(rows.withColumn(BUCKET, line.bucket()), "symbol", BUCKET)
         .withColumns({"_k": F.row_number().over(seq) - 1, "_prev": F.lag("price").over(seq)})
         .withColumns(
             {"_ret": F.when(usable, price / prev - 1.0), "_delta": F.when(usable, price - prev)}

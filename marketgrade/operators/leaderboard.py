@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import accuracy, mae, stats
-from ..session import cut
 from .timeline import BLOCK_ROWS, HOUR_MS, Timeline, blocks, fill, number
 
 WINDOW = 200
@@ -139,14 +138,11 @@ def snapshots(
     everything = Timeline((), (*SCORING_ORDER, "_position"), width)
     numbered = number(outcomes.withColumn("_position", position), everything, "at")
     rolled = rolling(numbered, window, width, block_rows)
-    # Cut, because the fill below reads the rolling frames in two branches.
-    measured = cut(
-        rolled.select(
-            "strategy_id",
-            "at",
-            F.lit(0).alias("_side"),
-            F.struct("n", "dir_acc", "mae", "mean_confidence", "calibration_gap").alias("_stat"),
-        )
+    measured = rolled.select(
+        "strategy_id",
+        "at",
+        F.lit(0).alias("_side"),
+        F.struct("n", "dir_acc", "mae", "mean_confidence", "calibration_gap").alias("_stat"),
     )
     due = numbered.filter(F.pmod(F.col("at") + 1, F.lit(every)) == 0).select(
         F.explode(F.array(*[F.lit(s) for s in strategies])).alias("strategy_id"),

@@ -319,7 +319,7 @@ def verdict_events(runs: DataFrame, signals: Signals, horizon_s: int) -> DataFra
     answered = previous(run.filter("verdict IS NOT NULL"), line, F.col("reading"), "before")
     first = F.when(~F.col("before").eqNullSafe(F.col("reading")), F.struct(F.col("verdict").alias("v")))
     answered = fill(answered, line, first, "kept").select("symbol", "ts", "trade_id", F.struct("reading", F.col("kept.v").alias("v")).alias("memo"))
-    run = cut(fill(run.join(answered, ["symbol", "ts", "trade_id"], "left"), line, F.col("memo"), "after"))
+    run = fill(run.join(answered, ["symbol", "ts", "trade_id"], "left"), line, F.col("memo"), "after")
     run = previous(run, line, F.col("after"), "held")
     same = F.col("held.reading").eqNullSafe(F.col("reading")) & F.col("held").isNotNull()
     at_head = run.select("symbol", "ts", "trade_id", F.struct(F.when(same, F.col("held.v")).otherwise(F.col("got")).alias("v")).alias("event"))

@@ -1,12 +1,14 @@
 """Ordered per-key operators that never put a whole key into one task.
 
 A key (a symbol, a strategy) may hold a third of all rows, so no window here is partitioned
-by the key alone. Rows are grouped by (key, time bucket). A bucket is summarised with a
-partial aggregation, the summaries of a key (at most time span / width of them) are combined
-in bucket order, and the result is joined back to the rows of the next bucket as its carry.
+by the key alone. Rows are shuffled once, by (key, time bucket). A bucket is summarised to one
+row, the summaries of a key (at most time span / width of them) are combined in bucket order,
+and the result is joined back to the rows of the next bucket as its carry. Summaries and rows
+read the same exchange, so the input is read once, however long a chain of operators is.
 
 Pick ``width`` so that the busiest key keeps a few million rows per bucket. Results do not
-depend on it.
+depend on it. Select the columns you need before an operator: all columns are shuffled. Rows
+with a null key form a key of their own.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ DAY_MS = 24 * HOUR_MS
 BLOCK_ROWS = 50_000
 
 BUCKET = "_bucket"
+SLOT = "_slot"
 
 
 @dataclass(frozen=True)
@@ -43,20 +46,38 @@ class Timeline:
         order = [F.col(c).desc() if reverse else F.col(c).asc() for c in self.order]
         return Window.partitionBy(*self.keys, BUCKET).orderBy(*order)
 
+    def inside(self, reverse: bool = False) -> WindowSpec:
+        """Order of the rows of one slot."""
+        order = [F.col(c).desc() if reverse else F.col(c).asc() for c in self.order]
+        return Window.partitionBy(SLOT).orderBy(*order)
+
     def across(self, reverse: bool = False) -> WindowSpec:
-        """Order of the bucket summaries of one key, up to but without the current one."""
-        order = F.col(BUCKET).desc() if reverse else F.col(BUCKET).asc()
-        return Window.partitionBy(*self.keys).orderBy(order).rowsBetween(
-            Window.unboundedPreceding, -1
+        """Order of the slot summaries of one key, up to but without the current one."""
+        bucket = F.col(SLOT)[BUCKET]
+        return (
+            Window.partitionBy(*[F.col(SLOT)[k] for k in self.keys])
+            .orderBy(bucket.desc() if reverse else bucket.asc())
+            .rowsBetween(Window.unboundedPreceding, -1)
         )
 
-    @property
-    def slot(self) -> list[str]:
-        return [*self.keys, BUCKET]
 
+def once(df: DataFrame, *by: str) -> DataFrame:
+    """Rows shuffled by the columns ``by``, in an exchange that all users of the result share.
+
+    ``inline`` rebuilds each row from one struct. Spark drops no column and moves no filter
+    below it, so every branch needs the same exchange and Spark reuses it.
+    """
+    rest = F.struct(*[c for c in df.columns if c not in by])
+    return df.repartition(*by).select(*by, F.inline(F.array(rest)))
 
-def _bucketed(df: DataFrame, line: Timeline) -> DataFrame:
-    return df.withColumn(BUCKET, line.bucket())
+
+def _slotted(df: DataFrame, line: Timeline, extra: dict[str, Column]) -> DataFrame:
+    """Rows with ``extra`` columns, shuffled once by their slot: the key and the time bucket.
+
+    The slot is a struct, which is never null, so a join on it adds no filter to one branch.
+    """
+    slot = F.struct(*line.keys, line.bucket().alias(BUCKET))
+    return once(df.withColumns({SLOT: slot, **extra}), SLOT)
 
 
 def fill(
@@ -77,19 +98,19 @@ def fill_columns(
     """``fill`` for several values that share one order, in one shuffle of the rows."""
     names = list(values)
     raw, here, carried = ([f"_{kind}_{n}" for n in names] for kind in ("v", "here", "carry"))
-    rows = _bucketed(df, line).withColumns(dict(zip(raw, values.values(), strict=True)))
+    rows = _slotted(df, line, dict(zip(raw, values.values(), strict=True)))
     pick = F.min_by if reverse else F.max_by
-    edges = rows.groupBy(*line.slot).agg(
+    edges = rows.groupBy(SLOT).agg(
         *[pick(v, F.when(F.col(v).isNotNull(), line.rank())).alias(v) for v in raw]
     )
     carry = edges.select(
-        *line.slot,
+        SLOT,
         *[
             F.last(v, ignorenulls=True).over(line.across(reverse)).alias(c)
             for v, c in zip(raw, carried, strict=True)
         ],
     )
-    frame = line.window(reverse).rowsBetween(Window.unboundedPreceding, 0)
+    frame = line.inside(reverse).rowsBetween(Window.unboundedPreceding, 0)
     return (
         rows.withColumns(
             {
@@ -97,53 +118,53 @@ def fill_columns(
                 for h, v in zip(here, raw, strict=True)
             }
         )
-        .join(carry, line.slot, "left")
+        .join(carry, SLOT, "left")
         .withColumns(
             {n: F.coalesce(h, c) for n, h, c in zip(names, here, carried, strict=True)}
         )
-        .drop(*raw, *here, *carried, BUCKET)
+        .drop(*raw, *here, *carried, SLOT)
     )
 
 
 def previous(df: DataFrame, line: Timeline, value: Column, out: str) -> DataFrame:
     """Add ``out``: ``value`` of the row just before, null on the first row of a key."""
-    rows = _bucketed(df, line).withColumn("_v", F.struct(value.alias("v")))
-    edges = rows.groupBy(*line.slot).agg(F.max_by("_v", line.rank()).alias("_edge"))
-    carry = edges.select(*line.slot, F.last("_edge").over(line.across()).alias("_carry"))
+    rows = _slotted(df, line, {"_v": F.struct(value.alias("v"))})
+    edges = rows.groupBy(SLOT).agg(F.max_by("_v", line.rank()).alias("_edge"))
+    carry = edges.select(SLOT, F.last("_edge").over(line.across()).alias("_carry"))
     return (
-        rows.withColumn("_here", F.lag("_v").over(line.window()))
-        .join(carry, line.slot, "left")
+        rows.withColumn("_here", F.lag("_v").over(line.inside()))
+        .join(carry, SLOT, "left")
         .withColumn(out, F.coalesce("_here", "_carry")["v"])
-        .drop("_v", "_here", "_carry", BUCKET)
+        .drop("_v", "_here", "_carry", SLOT)
     )
 
 
 def running_max(df: DataFrame, line: Timeline, value: Column, out: str) -> DataFrame:
     """Add ``out``: the largest ``value`` over all rows strictly before this one."""
-    rows = _bucketed(df, line).withColumn("_v", value)
-    edges = rows.groupBy(*line.slot).agg(F.max("_v").alias("_edge"))
-    carry = edges.select(*line.slot, F.max("_edge").over(line.across()).alias("_carry"))
-    frame = line.window().rowsBetween(Window.unboundedPreceding, -1)
+    rows = _slotted(df, line, {"_v": value})
+    edges = rows.groupBy(SLOT).agg(F.max("_v").alias("_edge"))
+    carry = edges.select(SLOT, F.max("_edge").over(line.across()).alias("_carry"))
+    frame = line.inside().rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.withColumn("_here", F.max("_v").over(frame))
-        .join(carry, line.slot, "left")
+        .join(carry, SLOT, "left")
         .withColumn(out, F.greatest("_here", "_carry"))
-        .drop("_v", "_here", "_carry", BUCKET)
+        .drop("_v", "_here", "_carry", SLOT)
     )
 
 
 def number(df: DataFrame, line: Timeline, out: str) -> DataFrame:
     """Add ``out``: the 0-based position of each row inside its key."""
-    rows = _bucketed(df, line)
-    counts = rows.groupBy(*line.slot).agg(F.count(F.lit(1)).alias("_n"))
+    rows = _slotted(df, line, {})
+    counts = rows.groupBy(SLOT).agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
-        *line.slot, F.coalesce(F.sum("_n").over(line.across()), F.lit(0)).alias("_offset")
+        SLOT, F.coalesce(F.sum("_n").over(line.across()), F.lit(0)).alias("_offset")
     )
     return (
-        rows.withColumn("_here", F.row_number().over(line.window()))
-        .join(offsets, line.slot, "inner")
+        rows.withColumn("_here", F.row_number().over(line.inside()))
+        .join(offsets, SLOT, "left")
         .withColumn(out, F.col("_offset") + F.col("_here") - 1)
-        .drop("_here", "_offset", BUCKET)
+        .drop("_here", "_offset", SLOT)
     )
 
 

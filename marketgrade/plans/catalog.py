@@ -345,7 +345,7 @@ def sentiment_asof(spark, folder):
 @query
 def verdict_runs(spark, folder):
     rows = strategies.with_sentiment(features(spark, folder), snapshots(spark, folder))
-    runs = strategies.verdict_runs(cut(rows))
+    runs = strategies.verdict_runs(rows)
     return runs.select("symbol", "ts", "trade_id", "snap_ts", "head")
 
 
@@ -453,7 +453,7 @@ def ranked_standings(spark, folder):
 
 @query
 def rolling_accuracy(spark, folder):
-    rolled = L.rolling(cut(by_name(spark, folder)), block_rows=5_000)
+    rolled = L.rolling(by_name(spark, folder), block_rows=5_000)
     return rounded(rolled.select(
         "strategy_id", "scored_ts", *OUTCOME_ORDER, "seq", "n", "dir_acc", "mean_confidence",
     ))
@@ -461,23 +461,23 @@ def rolling_accuracy(spark, folder):
 
 @query
 def rolling_errors(spark, folder):
-    rolled = L.rolling(cut(by_name(spark, folder)), window=50, block_rows=5_000)
+    rolled = L.rolling(by_name(spark, folder), window=50, block_rows=5_000)
     return rounded(rolled.select("strategy_id", "seq", "mae", "calibration_gap"), 4)
 
 
 @query
 def degradation_alerts(spark, folder):
-    return L.alerts(cut(by_name(spark, folder)), block_rows=5_000)
+    return L.alerts(by_name(spark, folder), block_rows=5_000)
 
 
 @query
 def newest_alerts(spark, folder):
-    return live.newest_alerts(L.alerts(cut(by_name(spark, folder)), block_rows=5_000))
+    return live.newest_alerts(L.alerts(by_name(spark, folder), block_rows=5_000))
 
 
 @query
 def standings_snapshots(spark, folder):
-    taken = L.snapshots(cut(by_name(spark, folder)), BY_NAME, block_rows=5_000)
+    taken = L.snapshots(by_name(spark, folder), BY_NAME, block_rows=5_000)
     return rounded(taken.drop("mae", "calibration_gap"))
 
 
@@ -996,7 +996,7 @@ def json_lists(spark, folder):
 
 
 def training_rows(spark, folder):
-    return learning.labelled(cut(features(spark, folder)), block_rows=2_000)
+    return learning.labelled(features(spark, folder), block_rows=2_000)
 
 
 @query
