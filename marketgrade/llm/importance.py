@@ -184,8 +184,12 @@ def resample(
     sample is as large as the number of documents whose log weight per n-gram reaches the
     model's cut, and the log weight in the key is that of ``TEMPERATURE`` n-grams of the
     document's mean, so that long and short texts are drawn alike. A cut of minus infinity keeps
-    everything. Texts are weighed once: the weighed rows are stored in the shared folder. Result: all columns of ``docs``, log_weight and
-    gumbel_key (with a leading underscore where taken).
+    everything. Result: all columns of ``docs``, log_weight and gumbel_key (with a leading
+    underscore where taken).
+
+    Texts are weighed twice: once for the keys, of which only the numbers are stored in the
+    shared folder, and once more as the kept rows are read. Storing the texts with their keys
+    would save the second weighing, at a copy of the table on the shared disk.
 
     The k-th key is found by counting keys by their leading 16 bits, four times; nothing is
     sorted, and at most 65,536 counts reach the driver at once. Rows that tie with the k-th
@@ -198,12 +202,16 @@ def resample(
     weight, key, mean = fresh(docs, "log_weight"), fresh(docs, "gumbel_key"), fresh(docs, "mean_weight")
     uniform = (F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(seed)), 11) + 0.5) * 2.0**-53
     score = F.col(weight) if k is not None else F.col(mean) * TEMPERATURE
-    keyed = stored(weighed(docs, model, text_col, weight, mean).withColumn(key, score - F.log(-F.log(uniform))), "weighed")
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        return weighed(rows, model, text_col, weight, mean).withColumn(key, score - F.log(-F.log(uniform)))
+
+    numbers = stored(keyed(docs.select(id_col, text_col)).select(key, mean), "weights")
     if k is None:
-        k = keyed.where(F.col(mean) >= model.cut).count() if np.isfinite(model.cut) else keyed.count()
-    cutoff = kth_largest(keyed.select(key), k)
-    keyed = keyed.drop(mean)
-    return keyed.limit(0) if cutoff is None else keyed.where(F.col(key) >= cutoff)
+        k = numbers.where(F.col(mean) >= model.cut).count() if np.isfinite(model.cut) else numbers.count()
+    cutoff = kth_largest(numbers.select(key), k)
+    rows = keyed(docs).drop(mean)
+    return rows.limit(0) if cutoff is None else rows.where(F.col(key) >= cutoff)
 
 
 def kth_largest(values: DataFrame, k: int) -> float | None:
