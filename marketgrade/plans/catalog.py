@@ -519,7 +519,7 @@ def flattened_messages(spark, folder):
 @query
 def lake_round_trip(spark, folder):
     """Write outcomes to the partitioned lake, read them with a fixed schema, and backtest."""
-    root = f"{checkpoint_root(spark).rstrip('/')}/lake-{uuid.uuid4().hex}"
+    root = scratch_folder(spark, "lake")
     scored = by_name(spark, folder).select(*evaluate.OUTCOME_COLUMNS)
     routed = lake.route(scored.withColumn("topic", F.lit("scores.out"))).drop("topic", "dataset")
     lake.write_dataset(routed, root, "outcomes")
