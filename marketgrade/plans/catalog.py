@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions import scoring, symbols, text
 from ..operators import (
@@ -30,9 +33,10 @@ from ..operators import features as FX
 from ..operators import leaderboard as L
 from ..operators.timeline import DAY_MS
 from ..schemas import decode, encode
-from ..session import ROCKSDB, cut, scratch_folder, ship_package
+from ..session import ROCKSDB, cut, scratch_folder, ship_package, stored
 from ..sources import feeds, lake, payloads
 from ..streaming import jobs
+from ..streaming.processors import STANDING_ROW
 from . import adapters as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -409,6 +413,22 @@ def strategy_union(spark, folder):
     )
 
 
+def half_failing(rows: pd.DataFrame) -> pd.DataFrame:
+    """A strategy that cannot take trades whose number ends in 0."""
+    if (rows["trade_id"] % 10 == 0).any():
+        raise ValueError("a number ends in 0")
+    return rows.assign(horizon_s=60, yhat=rows["last_price"] / 1000.0, confidence=0.5)
+
+
+@query
+def isolated_strategies(spark, folder):
+    """A strategy that always fails and one that fails on some rows, beside one that does not."""
+    strategies.register("half_failing")(strategies.python_strategy("half_failing", half_failing))
+    strategies.register("failing")(lambda rows, given: rows.select("no such column"))
+    made = strategies.forecasts(cut(features(spark, folder)), ["failing", "half_failing", "momentum"], strategies.Signals())
+    return rounded(made)
+
+
 @query
 def feature_vectors(spark, folder):
     return rounded(features(spark, folder).select(
@@ -583,6 +603,17 @@ def cleaned_bars(spark, folder):
     return rounded(B.clean(raw_bars(spark, folder)).withColumn("date", F.col("date").cast("string")))
 
 
+@query
+def bar_files(spark, folder):
+    """The text bars written as one CSV folder per symbol, read back and cleaned."""
+    path = scratch_folder(spark, "bars")
+    names = ("Date", "Open", "High", "Low", "Close", "Volume")
+    raw = raw_bars(spark, folder).select("symbol", *[F.col(n.lower()).alias(n) for n in names])
+    raw.write.partitionBy("symbol").option("header", True).csv(path)
+    back = B.clean(feeds.read_bar_files(spark, path))
+    return rounded(back.withColumn("date", F.col("date").cast("string")))
+
+
 @query
 def bars_until(spark, folder):
     return rounded(B.until(A.bars(spark, folder), AS_OF).withColumn("date", F.col("date").cast("string")))
@@ -906,6 +937,31 @@ def deep_analysis_default(spark, folder):
     return rounded(deep.analyze(ctx, F.lit(0)))
 
 
+def noting_model(prompts: pd.Series) -> pd.Series:
+    """A model whose notes are digests of their prompts, and whose verdict comes from the digest of all notes."""
+    digest = prompts.map(lambda p: hashlib.md5(p.encode()).hexdigest())
+    number = lambda a, b: digest.str[a:b].map(lambda x: int(x, 16))
+    verdict = '{"stance": "bearish", "yhat": ' + ((number(0, 4) % 41 - 20) / 100).astype(str)
+    verdict += ', "confidence": "' + (number(4, 8) % 13 / 10).astype(str) + '"}'
+    return digest.where(~prompts.str.contains("Weigh them"), "On " + digest + ". " + verdict)
+
+
+@query
+def deep_analysis(spark, folder):
+    """The four steps with a model that answers from its prompts, so each prompt shows in the view."""
+    latest = FX.latest_features(features(spark, folder))
+    names = A.ticks(spark, folder).select("symbol").distinct().unionByName(
+        A.table(spark, folder, "region").select(F.col("r_name").alias("symbol"))
+    )
+    newest = snapshots(spark, folder).withColumn("sources", F.array(F.lit("a"), F.lit("b")))
+    newest = newest.groupBy("symbol").agg(F.max_by(F.struct(*newest.columns), "ts").alias("s")).select("s.*")
+    titles = A.table(spark, folder, "region").select(
+        F.col("r_name").alias("symbol"), F.when(F.col("r_regionkey") > 1, F.col("r_name")).alias("news")
+    )
+    ctx = deep.context(names, latest, newest, titles)
+    return rounded(deep.analyze(ctx, F.lit(0), noting_model))
+
+
 @query
 def page_text(spark, folder):
     return A.table(spark, folder, "pages").select(
@@ -1071,23 +1127,50 @@ def tick_stream(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """The state store that the stateful steps need, for the streams started inside."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(provider, before)
+
+
 def drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """Run a stream over what its source holds now and return what it wrote.
 
     Output and stream checkpoint go to the shared checkpoint folder.
     """
     base = scratch_folder(spark, "stream")
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, ROCKSDB)
-    try:
+    with keyed_state(spark):
         writer = jobs.to_table(stream, f"{base}/out", f"{base}/checkpoint")
         writer.trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set(provider, before)
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def restarted(
+    spark: SparkSession, rows: DataFrame, by: str, parts: int, job: Callable[[DataFrame, str], DataStreamWriter]
+) -> None:
+    """Bring ``rows`` to a job in ``parts`` slices of ``by``, ending and restarting it between them.
+
+    ``job`` takes the stream and the folder of its checkpoint.
+    """
+    base = scratch_folder(spark, "slices")
+    rows = stored(rows, "sliced")
+    low, high = rows.agg(F.min(by), F.max(by)).first()
+    place = F.lit(0)
+    if low is not None:
+        place = F.floor((F.col(by) - F.lit(low)) * parts / F.lit(high - low + 1))
+    with keyed_state(spark):
+        for i in range(parts):
+            rows.where(place == i).write.mode("append").parquet(f"{base}/in")
+            stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+            job(stream, f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
 @query
 def stream_dedup(spark, folder):
     """Every trade arrives again eleven places later."""
@@ -1142,3 +1225,74 @@ def stream_sentiment(spark, folder):
     counts = drained(spark, jobs.message_counts(A.as_messages(events)))
     last = counts.groupBy("symbol").agg(F.max_by(F.struct(*counts.columns), "updates").alias("last")).select("last.*")
     return sentiment.with_shares(last.drop("updates"))
+
+
+@query
+def stream_latest_features(spark, folder):
+    """The latest-value table after five runs of the job, merged at every second batch."""
+    path = scratch_folder(spark, "latest")
+    restarted(
+        spark, A.ticks(spark, folder), "ts", 5,
+        lambda ticks, at: jobs.latest_table(jobs.features(ticks), path, at, merge_every=2),
+    )
+    return rounded(jobs.read_latest(spark, path))
+
+
+@query
+def stream_seeded_standings(spark, folder):
+    """Standings of a job that starts from the stored first half of the outcomes, and is restarted once."""
+    scored = stored(by_name(spark, folder).select("strategy_id", "hit", "abs_error", "confidence", *L.SCORING_ORDER))
+    low, high = scored.agg(F.min("scored_ts"), F.max("scored_ts")).first()
+    half = 0 if low is None else (low + high) // 2
+    path = scratch_folder(spark, "standings")
+    restarted(
+        spark, scored.where(F.col("scored_ts") >= half), "scored_ts", 2,
+        lambda fresh, at: jobs.to_table(jobs.leaderboard(fresh, scored.where(F.col("scored_ts") < half)), path, at),
+    )
+    rows = spark.read.schema(STANDING_ROW).parquet(path)
+    return rounded(rows.select("strategy_id", "scored_ts", "seq", "n", "dir_acc", "mean_confidence"))
+
+
+@query
+def stream_alerts(spark, folder):
+    """Alerts kept by the sink of a leaderboard job that was restarted twice."""
+    base = scratch_folder(spark, "alerts")
+
+    def job(scored: DataFrame, at: str) -> DataStreamWriter:
+        keep = jobs.alerts_to_table(f"{base}/alerts")
+        return jobs.standings_and_alerts(jobs.leaderboard(scored), f"{base}/standings", keep, at)
+
+    restarted(spark, by_name(spark, folder), "scored_ts", 3, job)
+    return lake.read_batches(spark, f"{base}/alerts", "symbol string, kind string, severity string, message string, ts bigint")
+
+
+@query
+def appended_outcomes(spark, folder):
+    """Outcomes appended in three numbered batches, each of them tried twice."""
+    path = scratch_folder(spark, "outcomes")
+    scored = stored(momentum_outcomes(spark, folder))
+    for batch in (0, 1, 2):
+        for _ in ("first", "again"):
+            lake.append_batch(scored.where(F.pmod("pred_trade_id", F.lit(3)) == batch), path, batch)
+    return rounded(lake.read_batches(spark, path, scored.schema))
+
+
+@query
+def stream_trade_messages(spark, folder):
+    """A topic replayed from files in three runs; every fourth message is delivered again in the next one."""
+    sent = trade_messages(spark, folder).select(
+        "key", "value", F.lit("trades").alias("topic"), (F.col("offset") % 3).cast("int").alias("partition"),
+        "offset", F.timestamp_seconds("offset").alias("timestamp"), F.lit(0).alias("timestampType"),
+    )
+    sent = stored(sent, "topic")
+    last = sent.agg(F.max("offset")).first()[0] or 0
+    base = scratch_folder(spark, "replay")
+    slice_ = F.floor(F.col("offset") * 3 / F.lit(last + 1))
+    with keyed_state(spark):
+        for i in range(3):
+            again = (slice_ == i - 1) & (F.col("offset") % 4 == 0)
+            sent.where((slice_ == i) | again).write.mode("append").parquet(f"{base}/topic")
+            ticks = payloads.trades(payloads.each_once(payloads.read_topic_files(spark, f"{base}/topic", 2)))
+            writer = jobs.to_table(ticks, f"{base}/ticks", f"{base}/checkpoint")
+            writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(ticks.schema).parquet(f"{base}/ticks")

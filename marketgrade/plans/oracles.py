@@ -287,6 +287,13 @@ QUALIFY row_number() OVER (PARTITION BY symbol, strategy_id ORDER BY ts DESC, tr
 VECTOR = ", ".join(f"{r(f'coalesce({c}, 0.0)')} AS {c}" for c in ["ema_fast", "ema_slow", "rsi", "vol", "ret_1", "vwap"])
 oracle("feature_vectors", f"WITH RECURSIVE {FEATS} SELECT symbol, ts, trade_id, {VECTOR} FROM f")
 
+oracle("isolated_strategies", f"""
+WITH RECURSIVE {FEATS}, {momentum(60)},
+hf AS (SELECT symbol, ts, trade_id, last_price FROM f WHERE trade_id % 10 <> 0)
+SELECT {FORECAST_COLUMNS} FROM mo
+UNION ALL SELECT symbol, CAST(60 AS INTEGER), {r('last_price / 1000.0')}, 0.5::DOUBLE, 'half_failing', ts, 'v0',
+  {r('last_price')}, trade_id FROM hf""")
+
 # ---- scoring ---------------------------------------------------------------------------------
 
 MATCHED = f"""{FEATS}, {PX}, {momentum(3600)},
@@ -384,6 +391,7 @@ raw AS (SELECT symbol, date, {GAP('open', 3)}, {GAP('high', 5)}, {GAP('low', 7)}
 SELECT symbol, {DAY}, {FILLED}, {r('close')} AS close FROM raw
 WINDOW up AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
   whole AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
+oracle("bar_files", ORACLES["cleaned_bars"])
 oracle("bars_until", f"WITH {BARS} SELECT symbol, {DAY}, {BAR_COLUMNS} FROM b WHERE date <= DATE '1998-12-31'")
 oracle("bars_between", f"""
 WITH {BARS} SELECT symbol, {DAY}, """ + ", ".join(f"round_even({c}, 2) AS {c}" for c in ["open", "high", "low", "close"])
@@ -582,6 +590,22 @@ WITH RECURSIVE {FEATS}, {SENT}, {LAST_F},
 ls AS (SELECT * FROM snap QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY snap_ts DESC) = 1)
 SELECT lf.symbol, {SUMMARY} AS price_summary, {r('ls.score')} AS score, ls.n, '' AS news FROM lf LEFT JOIN ls ON lf.symbol = ls.symbol
 UNION ALL SELECT r_name, 'no recent market data', NULL, NULL, CASE WHEN r_regionkey > 1 THEN r_name ELSE '' END FROM region""")
+DIGITS = lambda a: f"CAST('0x' || substr(d, {a}, 4) AS INTEGER)"
+oracle("deep_analysis", f"""
+WITH RECURSIVE {FEATS}, {SENT}, {LAST_F},
+ls AS (SELECT * FROM snap QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY snap_ts DESC) = 1),
+c AS (SELECT lf.symbol, {SUMMARY} AS price, ls.score, ls.n, 'none' AS news FROM lf LEFT JOIN ls ON lf.symbol = ls.symbol
+  UNION ALL SELECT r_name, 'no recent market data', NULL, NULL, CASE WHEN r_regionkey > 1 THEN r_name ELSE 'none' END FROM region),
+notes AS (SELECT symbol,
+  md5('Symbol ' || symbol || '. Recent features: ' || price || '. State momentum, trend and risk in two or three sentences.') AS market,
+  md5(CASE WHEN n IS NULL THEN 'Symbol ' || symbol || '. There is no crowd sentiment.'
+    ELSE printf('Symbol %s. Crowd score %+.2f from %d messages (a, b). What does it imply for direction?', symbol, score, n) END) AS crowd,
+  md5('Symbol ' || symbol || '. Headlines:' || chr(10) || news || chr(10) || 'What do they imply for direction?') AS read FROM c),
+w AS (SELECT symbol, md5('Symbol ' || symbol || '.' || chr(10) || 'Market notes: ' || market || chr(10) || 'Sentiment notes: ' || crowd
+  || chr(10) || 'News notes: ' || read || chr(10) || 'Weigh them into a one-hour view: a short briefing, then a JSON object with stance, yhat and confidence.') AS d FROM notes)
+SELECT symbol, 'bearish' AS stance, {r(f"greatest(-0.1, least(0.1, ({DIGITS(1)} % 41 - 20) / 100.0))::DOUBLE")} AS yhat,
+  {r(f"least(1.0, ({DIGITS(5)} % 13) / 10.0)::DOUBLE")} AS confidence, CAST(3600 AS INTEGER) AS horizon_s, CAST(0 AS INTEGER) AS ts,
+  'On ' || d || '.' AS briefing_md, 'deep-v0' AS model_ver FROM w""")
 oracle("deep_analysis_default", f"""
 WITH {TK} SELECT DISTINCT symbol, 'neutral' AS stance, 0.0::DOUBLE AS yhat, 0.0::DOUBLE AS confidence, CAST(3600 AS INTEGER) AS horizon_s,
   CAST(0 AS INTEGER) AS ts, '' AS briefing_md, 'deep-v0' AS model_ver FROM tk""")
@@ -668,3 +692,11 @@ WITH {BY_NAME}, {rolled(200)} SELECT strategy_id, scored_ts, seq, CAST(n AS INTE
   {r('mean_confidence')} AS mean_confidence FROM roll WHERE strategy_id = 'volume_up'""")
 oracle("stream_forecasts", ORACLES["model_forecasts"])
 oracle("stream_sentiment", ORACLES["message_counts"])
+oracle("stream_latest_features", ORACLES["latest_features"])
+oracle("stream_seeded_standings", f"""
+WITH {BY_NAME}, {rolled(200)}, half AS (SELECT (min(scored_ts) + max(scored_ts)) // 2 AS start FROM o)
+SELECT strategy_id, scored_ts, seq, CAST(n AS INTEGER) AS n, {r('dir_acc')} AS dir_acc,
+  {r('mean_confidence')} AS mean_confidence FROM roll, half WHERE scored_ts >= start""")
+oracle("stream_alerts", f"WITH {ALERTS} SELECT symbol, kind, severity, message, ts FROM al")
+oracle("appended_outcomes", ORACLES["scored_outcomes"])
+oracle("stream_trade_messages", ORACLES["source_trade_messages"])

@@ -81,6 +81,28 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def append_batch(df: DataFrame, path: str, batch: int) -> None:
+    """Append the rows of a numbered batch, once: a repeated batch replaces its first attempt."""
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+
+
+def read_batches(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """All rows that ``append_batch`` wrote; ``schema`` is without the batch number."""
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where it does not exist."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def recent_outcomes(outcomes: DataFrame, limit: int = 200) -> DataFrame:
     """The latest outcomes over all strategies, oldest first; ``id`` breaks ties."""
     newest = outcomes.orderBy(F.col("scored_ts").desc(), F.col("id").desc()).limit(limit)

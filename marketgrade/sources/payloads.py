@@ -31,10 +31,25 @@ def read_topic(
     return reader.option("subscribe", topics).option("startingOffsets", start).load()
 
 
-def read_topic_files(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
-    """A folder of Parquet files with the broker's columns, as a stream."""
-    return (
-        spark.readStream.schema(KAFKA_COLUMNS).option("maxFilesPerTrigger", max_files).parquet(path)
+def read_topic_files(
+    spark: SparkSession, path: str, max_files: int = 100, since_ms: int | None = None
+) -> DataFrame:
+    """A folder of Parquet files with the broker's columns, as a stream of ``max_files`` a micro-batch.
+
+    It starts with the earliest message, or with the first of time ``since_ms``.
+    """
+    rows = spark.readStream.schema(KAFKA_COLUMNS).option("maxFilesPerTrigger", max_files).parquet(path)
+    return rows if since_ms is None else rows.where(F.col("timestamp") >= F.timestamp_millis(F.lit(since_ms)))
+
+
+def each_once(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """A stream of messages without redeliveries, known by their place in the topic.
+
+    State is kept for ``delay`` of the broker's time. A message that comes later than that is taken
+    as a redelivery, so ``delay`` must exceed the time by which one partition is read ahead of another.
+    """
+    return messages.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(
+        ["topic", "partition", "offset"]
     )
 
 
