@@ -1282,7 +1282,7 @@ def stream_trade_messages(spark, folder):
     """A topic replayed from files in three runs; every fourth message is delivered again in the next one."""
     sent = trade_messages(spark, folder).select(
         "key", "value", F.lit("trades").alias("topic"), (F.col("offset") % 3).cast("int").alias("partition"),
-        "offset", F.timestamp_seconds("offset").alias("timestamp"), F.lit(0).alias("timestampType"),
+        "offset", F.timestamp_seconds(F.col("offset") + 1_700_000_000).alias("timestamp"), F.lit(0).alias("timestampType"),
     )
     sent = stored(sent, "topic")
     last = sent.agg(F.max("offset")).first()[0] or 0
