@@ -8,6 +8,9 @@ import uuid
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes, about, of a batch that goes to a Python worker; without it Spark takes up to 10,000 rows or 64 MB.
+BATCH_BYTES = 4 << 20
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -21,6 +24,7 @@ def build_session(master: str | None = None, app: str = "marketgrade", **conf: s
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        BATCH_LIMIT: str(BATCH_BYTES),
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
@@ -76,12 +80,23 @@ def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes of batches that go to Python, as ``build_session`` does, where nobody has.
+
+    A task holds a batch in the JVM and in Python at once, and what Python makes of it.
+    """
+    if spark.conf.get(BATCH_LIMIT, None) is None:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make functions and processors of this package travel inside the tasks that use them.
 
     Not needed where the package is installed on every node. Files added to the application
     would not reach the stream runner on the driver, so the code is pickled by value instead.
+    The batches that those tasks take are bounded as well.
     """
+    bound_batches(spark)
     package = sys.modules[__name__.partition(".")[0]]
     if package.__name__ not in cloudpickle.list_registry_pickle_by_value():
         cloudpickle.register_pickle_by_value(package)
