@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -69,6 +70,18 @@ def register(strategy_id: str) -> Callable[[Strategy], Strategy]:
     return add
 
 
+@contextmanager
+def registered(own: dict[str, Strategy]) -> Iterator[None]:
+    """Strategies that are registered for a while, hiding those of the same ids."""
+    before = dict(_STRATEGIES)
+    _STRATEGIES.update(own)
+    try:
+        yield
+    finally:
+        _STRATEGIES.clear()
+        _STRATEGIES.update(before)
+
+
 def registered_ids() -> list[str]:
     return sorted(_STRATEGIES)
 
@@ -466,22 +479,28 @@ def python_strategy(
     """A strategy written over pandas batches of feature rows.
 
     ``predict`` returns rows with symbol, ts, trade_id, last_price, horizon_s, yhat and
-    confidence. If a batch raises it is tried row by row and only the failing rows are lost.
+    confidence. If a batch raises, its halves are tried, down to single rows, and only the
+    failing rows are lost. What is made of a batch leaves as one frame.
     """
 
     def attempt(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
         try:
-            yield predict(batch)
+            made = predict(batch)
         except Exception:  # noqa: BLE001
             if len(batch) > 1:
-                for i in range(len(batch)):
-                    yield from attempt(batch.iloc[i : i + 1])
+                half = len(batch) // 2
+                yield from attempt(batch.iloc[:half])
+                yield from attempt(batch.iloc[half:])
+            return
+        if made is not None and len(made):
+            # A selection of columns is dear where a frame holds a few rows.
+            yield made if list(made.columns) == _PYTHON_COLUMNS else made[_PYTHON_COLUMNS]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for made in attempt(batch):
-                if made is not None and len(made):
-                    yield made[_PYTHON_COLUMNS]
+            made = list(attempt(batch))
+            if made:
+                yield pd.concat(made, ignore_index=True)
 
     def strategy(features: DataFrame, signals: Signals) -> DataFrame:
         made = features.mapInPandas(run, _PYTHON_SCHEMA)

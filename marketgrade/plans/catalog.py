@@ -415,17 +415,21 @@ def strategy_union(spark, folder):
 
 def half_failing(rows: pd.DataFrame) -> pd.DataFrame:
     """A strategy that cannot take trades whose number ends in 0."""
-    if (rows["trade_id"] % 10 == 0).any():
+    if (rows["trade_id"].to_numpy() % 10 == 0).any():
         raise ValueError("a number ends in 0")
-    return rows.assign(horizon_s=60, yhat=rows["last_price"] / 1000.0, confidence=0.5)
+    given = {c: rows[c].to_numpy() for c in ("symbol", "ts", "trade_id", "last_price")}
+    return pd.DataFrame({**given, "horizon_s": 60, "yhat": given["last_price"] / 1000.0, "confidence": 0.5})
 
 
 @query
 def isolated_strategies(spark, folder):
     """A strategy that always fails and one that fails on some rows, beside one that does not."""
-    strategies.register("half_failing")(strategies.python_strategy("half_failing", half_failing))
-    strategies.register("failing")(lambda rows, given: rows.select("no such column"))
-    made = strategies.forecasts(cut(features(spark, folder)), ["failing", "half_failing", "momentum"], strategies.Signals())
+    own = {
+        "half_failing": strategies.python_strategy("half_failing", half_failing),
+        "failing": lambda rows, given: rows.select("no such column"),
+    }
+    with strategies.registered(own):
+        made = strategies.forecasts(cut(features(spark, folder)), ["failing", "half_failing", "momentum"], strategies.Signals())
     return rounded(made)
 
 
