@@ -38,8 +38,6 @@ _CONTEXT = {
     "phone": r"(?i)phone|tel|call|fax|mobile|cell",
 }
 
-#: Candidates, at most, on which the trees and thresholds are fitted.
-SAMPLE_SPANS = 20_000
 TREES, DEPTH = 20, 3
 #: Share of right spans among those that a threshold selects on held-out candidates.
 PRECISION = 0.98
@@ -216,35 +214,37 @@ def overlaps(spans: Column, span: Column) -> Column:
     return F.exists(spans, lambda b: (b.start < span.end) & (span.start < b.end))
 
 
-def fit(docs: DataFrame, text_col: str = "text", sample_spans: int = SAMPLE_SPANS) -> Model:
-    """Boosted trees over the features of candidates, with a threshold per kind.
+def fit(docs: DataFrame, text_col: str = "text") -> Model:
+    """Boosted trees over the features of all candidates, with a threshold per kind.
 
     There are no labels: base spans that hold are right, with looser spellings of them (a phone
     without plus, a card with dots, an address with a written "at"). Candidates that touch no
     base span are wrong if they fail their kind's format check (``fits``); the others may be
-    real data in a loose form, so they are taken for neither. Half of the sample fits the trees, half the thresholds: the least
+    real data in a loose form, so they are taken for neither. Half of the candidates, by hash, fit the trees, half the thresholds: the least
     score from which on ``PRECISION`` of the candidates are right. A kind that never reaches it
     selects nothing, and neither does anything without right and wrong candidates.
 
-    The sample is a fixed pseudo-random choice of at most ``sample_spans`` candidates.
+    Nothing is sampled: candidates of equal features, kind, half and label are counted in one
+    pass over the documents, and the counts weigh them in the trees and in the thresholds.
     """
     text = whole_text(text_col)
     seen = docs.select(base_spans(text).alias("base"), spans_of(text, LOOSE).alias("loose"))
     unfit = F.lit(False)
     wrong = F.filter("loose", lambda s: ~overlaps(F.col("base"), s) & reduce(lambda out, k: out | ((s.kind == k) & ~fits(k, s.text)), KINDS, unfit))
     rows = seen.select(F.explode(F.concat(_marked(F.col("base"), 1), _marked(_respelled(F.col("base")), 1), _marked(wrong, 0))).alias("m"))
-    rows = rows.select("m.span", "m.right", features(F.col("m.span")).alias("f"), F.xxhash64("m.span.text", "m.span.left", "m.span.right", "m.span.start").alias("h"))
-    order = ["h", "span.text", "span.start", "right"]
-    sample = stored(rows.orderBy(*order).limit(sample_spans).select("span.kind", "right", "f.*", "h").coalesce(1), "spans")
-    counts = {(r.half, r.right): r.n for r in sample.groupBy(F.pmod("h", F.lit(2)).alias("half"), "right").agg(F.count("*").alias("n")).collect()}
-    if any(not counts.get((half, right)) for half in (0, 1) for right in (0, 1)):
+    half = F.pmod(F.xxhash64("m.span.text", "m.span.left", "m.span.right", "m.span.start"), F.lit(2)).alias("half")
+    rows = rows.select("m.span.kind", "m.right", half, features(F.col("m.span")).alias("f")).select("kind", "right", "half", "f.*")
+    tallied = rows.groupBy("kind", "right", "half", *FEATURES).agg(F.count("*").alias("n"))
+    tallied = stored(tallied.orderBy("half", "kind", "right", *FEATURES), "spans")
+    found = {(r.half, r.right) for r in tallied.select("half", "right").distinct().collect()}
+    if len(found) < 4:
         return Model()
-    given = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(sample)
-    booster = GBTClassifier(featuresCol="x", labelCol="right", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7, cacheNodeIds=False)
-    model = booster.fit(given.where(F.pmod("h", F.lit(2)) == 0))
+    given = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(tallied.withColumn("n", F.col("n").cast("double")))
+    booster = GBTClassifier(featuresCol="x", labelCol="right", weightCol="n", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7, cacheNodeIds=False)
+    model = booster.fit(given.where("half = 0"))
     trees = [(float(w), _tree(t._call_java("rootNode"))) for w, t in zip(model.treeWeights, model.trees, strict=True)]
-    held = sample.where(F.pmod("h", F.lit(2)) == 1).select("kind", "right", Model(trees).score(F.col).alias("score"))
-    tallies = held.groupBy("kind", "score").agg(F.sum("right").alias("right"), F.count("*").alias("n")).collect()
+    held = tallied.where("half = 1").select("kind", "right", "n", Model(trees).score(F.col).alias("score"))
+    tallies = held.groupBy("kind", "score").agg(F.sum(F.col("right") * F.col("n")).alias("right"), F.sum("n").alias("n")).collect()
     return Model(trees, {k: least_score([(r.score, r.right, r.n) for r in tallies if r.kind == k]) for k in KINDS})
 
 

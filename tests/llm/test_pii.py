@@ -106,3 +106,14 @@ def test_without_candidates(spark):
 def test_least_score():
     assert pii.least_score([(0.9, 5, 5), (0.5, 1, 1), (0.1, 0, 9)]) == 0.5
     assert pii.least_score([(0.9, 0, 5)]) == float("inf") and pii.least_score([]) == float("inf")
+
+
+def test_every_candidate_counts(spark, monkeypatch):
+    """The tallies behind the thresholds hold all held-out candidates, with the trees' weights beside them."""
+    counted = []
+    least = pii.least_score
+    monkeypatch.setattr(pii, "least_score", lambda tallies: counted.extend(tallies) or least(tallies))
+    docs = spark.createDataFrame(written(300), "doc_id long, text string").crossJoin(spark.range(60).selectExpr("id AS copy"))
+    docs = docs.selectExpr("doc_id", "concat(copy, ' ', text) AS text")
+    pii.fit(docs)
+    assert sum(n for _, _, n in counted) > 40_000
