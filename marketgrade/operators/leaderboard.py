@@ -59,8 +59,7 @@ def ranked(standing: DataFrame) -> DataFrame:
     return standing.withColumn("rank", place).withColumn("leader", F.col("rank") == 1)
 
 
-def _rolled(outcomes: DataFrame, window: int, width: int, block_rows: int):
-    line = Timeline(("strategy_id",), SCORING_ORDER, width)
+def _rolled(outcomes: DataFrame, window: int, line: Timeline, block_rows: int):
     numbered = number(outcomes, line, "seq")
     part = blocks(numbered, ["strategy_id"], "seq", before=window, rows=block_rows)
     frame = part.window.rowsBetween(-(window - 1), 0)
@@ -80,7 +79,12 @@ def rolling(
     outcomes: DataFrame, window: int = WINDOW, width: int = HOUR_MS, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Each outcome with its strategy's statistics over the last ``window`` outcomes."""
-    part, rows = _rolled(outcomes, window, width, block_rows)
+    line = Timeline(("strategy_id",), SCORING_ORDER, width)
+    return _rolling(outcomes, window, line, block_rows)
+
+
+def _rolling(outcomes: DataFrame, window: int, line: Timeline, block_rows: int) -> DataFrame:
+    part, rows = _rolled(outcomes, window, line, block_rows)
     return part.finish(rows).withColumn("calibration_gap", F.col("mean_confidence") - F.col("dir_acc"))
 
 
@@ -97,7 +101,8 @@ def alerts(
     ``seq + 1`` outcomes have been seen, so a strategy becomes eligible once and stays so;
     an alert is an eligible row below the floor whose predecessor was not one.
     """
-    part, rows = _rolled(outcomes, window, width, block_rows)
+    line = Timeline(("strategy_id",), SCORING_ORDER, width)
+    part, rows = _rolled(outcomes, window, line, block_rows)
     enough = F.least(F.col("seq") + 1, F.lit(window)) >= min_samples
     below = enough & (F.col("dir_acc") < floor)
     rows = rows.withColumn("_below", below).withColumn(
@@ -133,11 +138,16 @@ def snapshots(
     """Full standings after every ``every``-th outcome, one row per snapshot and strategy.
 
     A strategy shows its latest rolling statistics at that point, and only once it has any.
+    Only the columns that are needed are shuffled, and those of the order only until the rows
+    are numbered: the number orders a strategy's rows as well.
     """
+    needed = ("hit", "abs_error", "confidence")
+    outcomes = outcomes.select("strategy_id", *needed, *SCORING_ORDER)
     position = F.array_position(F.array(*[F.lit(s) for s in strategies]), F.col("strategy_id"))
     everything = Timeline((), (*SCORING_ORDER, "_position"), width)
     numbered = number(outcomes.withColumn("_position", position), everything, "at")
-    rolled = rolling(numbered, window, width, block_rows)
+    numbered = numbered.select("strategy_id", "at", "scored_ts", *needed)
+    rolled = _rolling(numbered, window, Timeline(("strategy_id",), ("at",), block_rows), block_rows)
     measured = rolled.select(
         "strategy_id",
         "at",
