@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .boosting import Boosted, boost
 from .timeline import BLOCK_ROWS, HOUR_MS, Timeline, blocks, number
 
 FEATURE_ORDER = ("ema_fast", "ema_slow", "rsi", "vol", "ret_1", "vwap")
@@ -109,24 +107,16 @@ def fold_sizes(indexed: DataFrame, n: int, splits: int = 5) -> DataFrame:
     )
 
 
-def fit(rows: DataFrame, columns: Sequence[str] = FEATURE_ORDER, trees: int = TREES) -> PipelineModel:
+def fit(rows: DataFrame, columns: Sequence[str] = FEATURE_ORDER, trees: int = TREES) -> Boosted:
     """Gradient-boosted trees on the label."""
-    return Pipeline(
-        stages=[
-            VectorAssembler(inputCols=list(columns), outputCol="features"),
-            GBTClassifier(
-                labelCol="label",
-                maxIter=trees,
-                maxDepth=DEPTH,
-                stepSize=LEARNING_RATE,
-                minInstancesPerNode=MIN_ROWS_PER_LEAF,
-                seed=0,
-            ),
-        ]
-    ).fit(rows)
-
-
-def up_probability(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    return _boost(cut(rows.select("label", *columns)), [F.lit(True)], columns, trees)[0]
+
+
+def _boost(rows: DataFrame, members: list[Column], columns: Sequence[str], trees: int) -> list[Boosted]:
+    return boost(rows, members, columns, trees, LEARNING_RATE, DEPTH, MIN_ROWS_PER_LEAF)
+
+
+def up_probability(model: Boosted, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("p_up", vector_to_array("probability")[1])
 
 
@@ -138,26 +128,27 @@ def walk_forward(
 ) -> DataFrame:
     """Out-of-sample accuracy per fold (fold, n, accuracy).
 
-    Each fold is one distributed fit. A fold whose training part has a single class, or whose
-    test part is empty, is skipped.
+    All folds are fitted in the same passes over the rows, each on its own part. A fold whose
+    training part has a single class, or whose test part is empty, is skipped.
     """
     rows = cut(indexed.select("pos", "label", *columns))
     n = rows.count()
+    bounds = list(enumerate(fold_bounds(n, splits), start=1))
+    classes = rows.agg(*[F.count_distinct(F.when(F.col("pos") < end, F.col("label"))) for _, (end, _) in bounds]).first()
+    kept = [(fold, a, b) for (fold, (a, b)), c in zip(bounds, classes, strict=True) if b > a and c > 1]
+    if not kept:
+        return rows.sparkSession.createDataFrame([], "fold int, n bigint, accuracy double")
+    models = _boost(rows, [F.col("pos") < end for _, end, _ in kept], columns, trees)
+    right = ((F.col("p_up") >= 0.5).cast("int") == F.col("label")).cast("double")
     scored = None
-    for fold, (train_end, test_end) in enumerate(fold_bounds(n, splits), start=1):
-        train = rows.filter(F.col("pos") < train_end)
-        if test_end <= train_end or train.select("label").distinct().count() < 2:
-            continue
-        test = rows.filter((F.col("pos") >= train_end) & (F.col("pos") < test_end))
-        right = ((F.col("p_up") >= 0.5).cast("int") == F.col("label")).cast("double")
-        result = up_probability(fit(train, columns, trees), test).agg(
+    for (fold, start, end), model in zip(kept, models, strict=True):
+        test = rows.filter((F.col("pos") >= start) & (F.col("pos") < end))
+        result = up_probability(model, test).agg(
             F.lit(fold).alias("fold"),
             F.count(F.lit(1)).alias("n"),
             F.avg(right).alias("accuracy"),
         )
         scored = result if scored is None else scored.unionByName(result)
-    if scored is None:
-        return rows.sparkSession.createDataFrame([], "fold int, n bigint, accuracy double")
     return scored
 
 
@@ -166,24 +157,24 @@ def mean_accuracy(folds: DataFrame) -> DataFrame:
     return folds.agg(F.avg("accuracy").alias("oos_dir_acc"), F.count(F.lit(1)).alias("folds"))
 
 
-def save_model(model: PipelineModel, path: str, columns: Sequence[str], version: str, metrics: dict):
+def save_model(model: Boosted, path: str, columns: Sequence[str], version: str, metrics: dict):
     """The fitted model, with a one-row JSON table of its columns, version and metrics."""
     import json
 
     from pyspark.sql import SparkSession
 
-    model.write().overwrite().save(f"{path}/model")
     spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(model.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
     spark.createDataFrame(
         [(list(columns), version, json.dumps(metrics))],
         "columns array<string>, model_ver string, metrics string",
     ).coalesce(1).write.mode("overwrite").json(f"{path}/about")
 
 
-def load_model(spark, path: str) -> tuple[PipelineModel, list[str], str, dict]:
+def load_model(spark, path: str) -> tuple[Boosted, list[str], str, dict]:
     import json
 
     about = spark.read.schema("columns array<string>, model_ver string, metrics string").json(
         f"{path}/about"
     ).first()
-    return PipelineModel.load(f"{path}/model"), about.columns, about.model_ver, json.loads(about.metrics)
+    return Boosted.from_json(spark.read.text(f"{path}/model").first().value), about.columns, about.model_ver, json.loads(about.metrics)
