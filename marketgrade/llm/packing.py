@@ -18,6 +18,8 @@ from .common import arrow_schema, fresh
 SLICE_CHARS = 4_000_000
 #: Bounds of the size bands, as numbers of equal items that fill a sequence; each band is packed in turn.
 BANDS = (1, 2, 3, 4, 6, 10, 24)
+#: Pieces and slots of a range, about; most rounds are small, and a task for each shuffle partition would cost more than they do.
+RANGE_ROWS = 50_000
 
 
 def token_pieces(
@@ -209,9 +211,9 @@ def _sweep(items: DataFrame, gaps: DataFrame, low: int, high: int) -> DataFrame:
     A gap that holds several pieces of the longest length, ``high``, is so many equal slots. In
     each range, a piece takes the last slot before it that is free, which is the smallest one
     that holds it. A piece with a bin is matched. A piece without one has its rank among those
-    left over in its range, a slot without a piece its rank from the range's end.
+    left over in its range, a slot without a piece its rank from the range's end. The number of
+    ranges follows the rows; the packing does not depend on it.
     """
-    width = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slots = F.greatest(F.lit(1), F.floor(F.col("gap") / high)).cast("int")
     slots = gaps.where(F.col("gap") >= low).select(F.floor(F.col("gap") / slots).cast("int").alias("size"), F.lit(0).alias("kind"), F.col("bin").alias("key"), "gap", F.explode(F.sequence(F.lit(1), slots)).alias("slot"))
     both = slots.unionByName(items.select(F.col("len").alias("size"), F.lit(1).alias("kind"), F.col("uid").alias("key"), F.lit(0).alias("gap"), F.lit(0).alias("slot")))
@@ -239,6 +241,7 @@ def _sweep(items: DataFrame, gaps: DataFrame, low: int, high: int) -> DataFrame:
             columns = [none, pa.array(bins, pa.int64()), pa.array(sizes, pa.int32()), pa.nulls(n, pa.int32()), pa.array(np.full(n, part), pa.int32()), pa.array(np.arange(n))]
             yield pa.RecordBatch.from_arrays(columns, schema=types)
 
+    width = max(1, -(-both.count() // RANGE_ROWS))
     sorted_ = both.repartitionByRange(width, *order).sortWithinPartitions(*order)
     return sorted_.mapInArrow(run, "uid long, bin long, gap int, len int, part int, rank long")
 

@@ -124,3 +124,20 @@ def test_words_give_the_same_ids(tokens):
         want = [library.encode(" " + t if lead else t, add_special_tokens=False).ids for t in texts]
         assert [x.tolist() for x in tokens.encoder(lead)(texts)] == want
     assert [x.tolist() for x in byte_level.piece_encoder(model)(texts)] == model.encode(texts)
+
+
+def test_ranges_follow_the_rows_and_not_the_packing_the_ranges(spark, monkeypatch):
+    lengths = np.random.default_rng(5).integers(1, 101, 1500)
+    rows = spark.createDataFrame([(i, int(x)) for i, x in enumerate(lengths)], "uid long, length int").repartition(3)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        items = rows.select("uid", F.col("length").alias("len"))
+        gaps = spark.createDataFrame([(7, 300)], "bin long, gap int")
+        assert packing._sweep(items, gaps, 1, 100).rdd.getNumPartitions() == 1
+        one = {r.uid: (r.sequence_id, r.offset) for r in packing.pack(rows, 100).collect()}
+        monkeypatch.setattr(packing, "RANGE_ROWS", 200)
+        assert packing._sweep(items, gaps, 1, 100).rdd.getNumPartitions() == 8
+        assert {r.uid: (r.sequence_id, r.offset) for r in packing.pack(rows, 100).collect()} == one
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
