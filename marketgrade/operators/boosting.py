@@ -19,8 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BINS = 32
-#: Rows from which a feature's bins are laid, as many as Spark's trees take; every row is binned and trained on.
-BIN_ROWS = 10_000
+#: Rows from which a feature's bins are laid, as many as Spark's trees take, and the seed that they draw from
+#: their own seed of 0; every row is binned and trained on.
+BIN_ROWS, BIN_SEED = 10_000, 520798028
 #: Rows of a block, which a task works on at a time, and rows of a task, about.
 BLOCK_ROWS, TASK_ROWS = 1 << 16, 1 << 23
 #: Trees after which margins are made from the blocks again, so that lineage stays short.
@@ -144,13 +145,20 @@ class Growing:
         self.open = later
 
 
-def bin_bounds(values: np.ndarray, bins: int = BINS) -> np.ndarray:
-    """Upper bounds of about equally full bins, half-way between neighbouring values, as Spark's trees lay them."""
-    found, counts = np.unique(values, return_counts=True)
+def bin_bounds(values: np.ndarray, bins: int = BINS, expected: int | None = None) -> np.ndarray:
+    """Upper bounds of about equally full bins, half-way between neighbouring values, as Spark's trees lay them.
+
+    They count zeros as what is missing from the ``expected`` number of values.
+    """
+    expected = len(values) if expected is None else expected
+    found, counts = np.unique(values[values != 0], return_counts=True)
+    zeros, at = expected - counts.sum(), np.searchsorted(found, 0.0)
+    if zeros > 0:
+        found, counts = np.insert(found, at, 0.0), np.insert(counts, at, zeros)
     middle = (found[:-1] + found[1:]) / 2.0
     if len(middle) < bins:
         return middle
-    stride = len(values) / bins
+    stride = expected / bins
     target, total, kept = stride, np.cumsum(counts), []
     for i in range(len(middle)):
         if abs(total[i] - target) < abs(total[i + 1] - target):
@@ -160,9 +168,13 @@ def bin_bounds(values: np.ndarray, bins: int = BINS) -> np.ndarray:
 
 
 def _splits(rows: DataFrame, n: int, width: int) -> list[np.ndarray]:
-    some = rows.sample(BIN_ROWS / n, seed=0) if n > BIN_ROWS else rows
-    table = some.select(*[f"x{i}" for i in range(width)]).toArrow()
-    return [bin_bounds(column.to_numpy(), min(BINS, n)) for column in table.columns]
+    some = rows.select(*[f"x{i}" for i in range(width)])
+    if n > BIN_ROWS:
+        # The row sampler of the JVM's RDDs, so that the bins are those of Spark's trees.
+        spark, frame = rows.sparkSession, some._jdf
+        drawn = frame.toJavaRDD().sample(False, BIN_ROWS / n, BIN_SEED)
+        some = DataFrame(spark._jsparkSession.createDataFrame(drawn, frame.schema()), spark)
+    return [bin_bounds(column.to_numpy(), min(BINS, n), min(BIN_ROWS, n)) for column in some.toArrow().columns]
 
 
 def _binned(values: Sequence[np.ndarray], splits: Sequence[np.ndarray]) -> np.ndarray:

@@ -74,3 +74,14 @@ def test_refuses_absent_features_other_labels_and_no_rows(spark, rows):
     model = learning.fit(rows, trees=1)
     with pytest.raises(Exception, match="absent"):
         model.transform(absent).collect()
+
+
+def test_same_bins_as_sparks_trees_beyond_ten_thousand_rows(spark):
+    x = [F.when(F.rand(i) < 0.9, F.round(F.randn(i + 9), 3)).otherwise(0.0).alias(c) for i, c in enumerate(learning.FEATURE_ORDER)]
+    rows = learning.cut(spark.range(0, 30_000, 1, 3).select(F.col("id").alias("pos"), *x))
+    rows = rows.withColumn("label", (F.col("rsi") + F.col("vol") > F.rand(1)).cast("int"))
+    rows = learning.cut(rows)
+    ours = learning.up_probability(learning.fit(rows, trees=3), rows)
+    theirs = spark_trees(rows, learning.FEATURE_ORDER, 3).transform(rows).select("pos", vector_to_array("probability")[1].alias("p"))
+    most = ours.join(theirs, "pos").agg(F.max(F.abs(F.col("p_up") - F.col("p")))).first()[0]
+    assert most < 1e-9
