@@ -1,6 +1,6 @@
 """Gradient-boosted trees for two classes, several models in one run, as histogram passes over blocks of binned rows.
 
-The method is that of Spark's ``GBTClassifier``: log loss, variance splits over at most ``BINS``
+The method is that of Spark's ``GBTClassifier``: log loss, variance splits over about ``BINS``
 bins a feature, a first tree at full weight and later ones at the learning rate. All models grow
 in step, so one pass serves every model, and a row takes a byte a feature in memory.
 """
@@ -27,6 +27,9 @@ BLOCK_ROWS, TASK_ROWS = 1 << 16, 1 << 23
 #: Trees after which margins are made from the blocks again, so that lineage stays short.
 REPLAY = 30
 
+#: The last left bin of a node that was not split; bins are bytes.
+WHOLE = 255
+
 #: Feature and last left bin of each inner node in level order, and the value of each leaf. Where a node
 #: was not split, all its rows go left.
 Tree = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -86,6 +89,8 @@ def boost(
     if bad or not all(counts):
         raise ValueError("labels must be 0 or 1, and every model needs rows")
     splits = [_splits(rows.where(t), n, len(columns)) for t, n in zip(taught, counts, strict=True)]
+    # A draw of more rows than expected can give a feature a bin or two more.
+    bins = max([BINS] + [len(s) + 1 for own in splits for s in own])
     width, total = sc.defaultParallelism, sum(counts)
     parts = min(width * -(-total // (width * TASK_ROWS)), -(-total // BLOCK_ROWS))
     base = _blocks(rows.repartition(parts), splits).rdd.map(_block).persist(StorageLevel.MEMORY_AND_DISK)
@@ -95,9 +100,9 @@ def boost(
         again = m % REPLAY == 0
         start = 0 if again else m - 1
         moved = (base if again else state).map(_mover([own[start:] for own in done], start, rate)).persist(StorageLevel.MEMORY_AND_DISK)
-        grown = [Growing(depth, least, [len(s) for s in own]) for own in splits]
+        grown = [Growing(depth, least, [len(s) for s in own], bins) for own in splits]
         for level in range(depth):
-            found = moved.mapPartitions(_counter([g.tree for g in grown], level, m == 0)).collect()
+            found = moved.mapPartitions(_counter([g.tree for g in grown], level, m == 0, bins)).collect()
             if level == 0 and state is not None:
                 state.unpersist()
             for k, g in enumerate(grown):
@@ -116,10 +121,10 @@ def boost(
 class Growing:
     """A tree that grows level by level from histograms; ``open`` are the nodes of the next level that may be split."""
 
-    def __init__(self, depth: int, least: int, sizes: list[int]):
+    def __init__(self, depth: int, least: int, sizes: list[int], bins: int):
         self.depth, self.least, self.open = depth, least, [0]
-        self.allowed = np.arange(BINS - 1) < np.array(sizes)[:, None]
-        self.tree: Tree = (np.zeros(2**depth - 1, int), np.full(2**depth - 1, BINS), np.zeros(2**depth))
+        self.allowed = np.arange(bins - 1) < np.array(sizes)[:, None]
+        self.tree: Tree = (np.zeros(2**depth - 1, int), np.full(2**depth - 1, WHOLE), np.zeros(2**depth))
 
     def grow(self, level: int, histogram: np.ndarray) -> None:
         """``histogram`` has sums and counts by node, feature and bin. The first of the best splits is taken."""
@@ -148,7 +153,8 @@ class Growing:
 def bin_bounds(values: np.ndarray, bins: int = BINS, expected: int | None = None) -> np.ndarray:
     """Upper bounds of about equally full bins, half-way between neighbouring values, as Spark's trees lay them.
 
-    They count zeros as what is missing from the ``expected`` number of values.
+    They count zeros as what is missing from the ``expected`` number of values, and lay more than
+    ``bins`` where there are more values than expected.
     """
     expected = len(values) if expected is None else expected
     found, counts = np.unique(values[values != 0], return_counts=True)
@@ -220,7 +226,7 @@ def _nodes(bins: np.ndarray, tree: Tree, level: int) -> np.ndarray:
         right = np.zeros(len(node), bool)
         for j in range(2**above):
             at = 2**above - 1 + j
-            if last[at] < BINS:
+            if last[at] < WHOLE:
                 right |= (bins[feature[at]] > last[at]) & (node == j)
         node = 2 * node + right
     return node
@@ -243,28 +249,28 @@ def _mover(trees: list[list[Tree]], start: int, rate: float):
     return moved
 
 
-def _counter(trees: list[Tree], level: int, first: bool):
+def _counter(trees: list[Tree], level: int, first: bool, bins: int):
     """A pass: sums of residuals (of the first tree: labels) and counts of rows by node, feature and bin for each model."""
 
     def run(blocks: Iterator[tuple]) -> Iterator[tuple]:
         found: dict[int, np.ndarray] = {}
         width = 0
-        for k, bins, label, margin in blocks:
+        for k, binned, label, margin in blocks:
             y = label.astype(float)
             rest = y if first else 4.0 * y / (1.0 + np.exp(2.0 * y * margin))
-            node = _nodes(bins, trees[k], level).astype(np.int64) * BINS**2
-            width = len(bins)
+            node = _nodes(binned, trees[k], level).astype(np.int64) * bins**2
+            width = len(binned)
             # One count serves two features.
             pairs = [(i, min(i + 1, width - 1)) for i in range(0, width, 2)]
-            made = np.empty((2, len(pairs), 2**level * BINS**2))
+            made = np.empty((2, len(pairs), 2**level * bins**2))
             for at, (a, b) in enumerate(pairs):
-                cell = node + (bins[a].astype(np.uint16) * BINS + bins[b])
+                cell = node + (binned[a].astype(np.uint16) * bins + binned[b])
                 made[0, at] = np.bincount(cell, rest, made.shape[2])
                 made[1, at] = np.bincount(cell, minlength=made.shape[2])
             found[k] = found[k] + made if k in found else made
         for k, made in found.items():
-            cells = made.reshape(2, made.shape[1], -1, BINS, BINS)
-            both = np.stack([cells.sum(4), cells.sum(3)], 2).reshape(2, -1, 2**level, BINS)
+            cells = made.reshape(2, made.shape[1], -1, bins, bins)
+            both = np.stack([cells.sum(4), cells.sum(3)], 2).reshape(2, -1, 2**level, bins)
             yield k, both[:, :width].swapaxes(1, 2)
 
     return run

@@ -85,3 +85,14 @@ def test_same_bins_as_sparks_trees_beyond_ten_thousand_rows(spark):
     theirs = spark_trees(rows, learning.FEATURE_ORDER, 3).transform(rows).select("pos", vector_to_array("probability")[1].alias("p"))
     most = ours.join(theirs, "pos").agg(F.max(F.abs(F.col("p_up") - F.col("p")))).first()[0]
     assert most < 1e-9
+
+
+def test_more_bins_than_usual_where_the_draw_is_larger_than_expected(spark):
+    x = [F.round(F.randn(i + 9), 6).alias(c) for i, c in enumerate(learning.FEATURE_ORDER)]
+    rows = learning.cut(spark.range(0, 30_000, 1, 16).select(F.col("id").alias("pos"), *x))
+    rows = learning.cut(rows.withColumn("label", (F.col("rsi") + F.col("vol") + F.randn(1) > 1.5).cast("int")))
+    model = learning.fit(rows, trees=3)
+    assert max(map(len, model.splits)) >= boosting.BINS
+    theirs = spark_trees(rows, learning.FEATURE_ORDER, 3).transform(rows).select("pos", vector_to_array("probability")[1].alias("p"))
+    most = learning.up_probability(model, rows).join(theirs, "pos").agg(F.max(F.abs(F.col("p_up") - F.col("p")))).first()[0]
+    assert most < 1e-9
