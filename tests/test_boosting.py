@@ -96,3 +96,10 @@ def test_more_bins_than_usual_where_the_draw_is_larger_than_expected(spark):
     theirs = spark_trees(rows, learning.FEATURE_ORDER, 3).transform(rows).select("pos", vector_to_array("probability")[1].alias("p"))
     most = learning.up_probability(model, rows).join(theirs, "pos").agg(F.max(F.abs(F.col("p_up") - F.col("p")))).first()[0]
     assert most < 1e-9
+
+
+def test_splits_beyond_the_usual_bins_are_kept_and_used():
+    tree = (np.zeros(1, int), np.array([32]), np.array([-1.0, 1.0]))
+    made = boosting.Boosted(("x",), [np.arange(33) + 0.5], [tree], 0.05)
+    for model in (made, boosting.Boosted.from_json(made.to_json())):
+        assert model.margin([np.array([0.0, 32.0, 33.0])]).tolist() == [-1.0, -1.0, 1.0]
