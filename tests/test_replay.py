@@ -88,3 +88,17 @@ def test_reading_model_equals_columns():
     found = prompts.str.extract(r"from (\d+) messages .*RSI (\d+),").astype("int64")
     reply = 'It looks so: {"yhat": ' + ((found[1] - 50) / 997).astype(str) + ', "confidence": "' + (found[0] % 13 / 10).astype(str) + '"}'
     assert catalog.reading_model(prompts).tolist() == reply.mask(found[1] % 5 == 3, "no idea").tolist()
+
+
+def test_state_partitions_follow_the_rows_of_a_batch(spark):
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "600")
+    try:
+        with catalog.keyed_state(spark, catalog.REPLAY_ROWS):
+            assert int(spark.conf.get(name)) <= 20
+        with catalog.keyed_state(spark):
+            assert spark.conf.get(name) == "600"
+        assert spark.conf.get(name) == "600"
+    finally:
+        spark.conf.set(name, before)
