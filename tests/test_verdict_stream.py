@@ -12,6 +12,7 @@ from test_streaming import drain, read_batches, rounded, write_batches
 from marketgrade.functions.text import verdict_of
 from marketgrade.operators import sentiment, strategies
 from marketgrade.streaming import jobs
+from marketgrade.streaming.processors import VerdictMemo
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the models run in worker processes
 
@@ -141,3 +142,33 @@ def test_verdict_of_reads_as_the_columns_do(spark):
     df = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "i int, reply string")
     rows = df.select("i", strategies.parsed_verdict(F.col("reply"), 100.0).alias("v")).orderBy("i").collect()
     assert [None if r.v is None else tuple(r.v) for r in rows] == [verdict_of(r) for r in replies]
+
+
+@pytest.mark.parametrize("raising", [False, True])
+def test_memo_asks_many_prompts_at_once_but_no_others(raising):
+    rng = random.Random(2)
+    readings = [(0, 0.1, float(rng.randrange(3)), float(i // 700 + rng.randrange(12))) for i in range(6_000)]
+    calls = []
+
+    def reply(i):
+        if raising and i % 977 == 500:
+            raise ConnectionError
+        return None if i % 5 == 2 else f'{{"yhat": {i % 89 / 2000}, "confidence": 0.5}}'
+
+    def model(prompts: pd.Series) -> pd.Series:
+        calls.append(prompts.astype(int).tolist())
+        return prompts.map(lambda p: reply(int(p)))
+
+    want, asked, memo = [], [], (readings[3], (0.01, 0.25))
+    for i, reading in enumerate(readings):
+        if memo[0] != reading:
+            asked.append(i)
+            got = None if i % 5 == 2 or raising and i % 977 == 500 else (i % 89 / 2000, 0.5)
+            memo = memo if got is None else (reading, got)
+        want.append(memo[1] if memo[0] == reading else None)
+    made = VerdictMemo(strategies.Questions(model), 0.05)
+    found, after = made._verdicts(readings, str, (*readings[3], 0.01, 0.25))
+    assert found == want and after == (*memo[0], *memo[1])
+    assert sorted({i for c in calls for i in c}) == asked and len(asked) > 4_000
+    assert len(calls) < len(asked) / (2 if raising else 20)
+    assert raising or sum(map(len, calls)) == len(asked)
