@@ -154,6 +154,26 @@ def test_seeded_leaderboard_keeps_quiet_until_it_recovers(spark, tmp_path):
     assert len(alerts) == 1 and alerts[0].scored_ts >= 1_060
 
 
+def test_seed_is_one_bounded_row_per_strategy(spark, tmp_path):
+    rng = random.Random(4)
+    hits = [rng.choice([True, False, None]) for _ in range(400)]
+    rows = [outcome_row(i * 7919 % 400, hits[i * 7919 % 400]) for i in range(400)]
+    stored = spark.createDataFrame([*rows, ("A", None, True, 0.2, 0.5, 5, 1, 1, 1)], OUTCOME).repartition(7)
+    made = {r.strategy_id: r for r in jobs.seeds(stored, 20).collect()}
+    assert made.keys() == {"s", None} and made["s"].seq == 400 and made[None].hits == [1.0]
+    assert made["s"].hits == [None if h is None else float(h) for h in hits[-20:]]
+    assert made["s"].errors == [0.1] * 20 and made["s"].confidences == [0.5] * 20
+    # Seeded from the first part, the standings go on as if the stream had brought it.
+    sure = [outcome_row(i, i % 3 > 0) for i in range(500)]
+    seeded = spark.createDataFrame(sure[:400], OUTCOME)
+    write_batches(spark, sure[400:], tmp_path / "rest", 2, OUTCOME)
+    write_batches(spark, sure, tmp_path / "all", 1, OUTCOME)
+    drain(jobs.to_table(jobs.leaderboard(read_batches(spark, tmp_path / "rest", OUTCOME), seeded, window=60), str(tmp_path / "a"), str(tmp_path / "ca")))
+    drain(jobs.to_table(jobs.leaderboard(read_batches(spark, tmp_path / "all", OUTCOME), window=60), str(tmp_path / "b"), str(tmp_path / "cb")))
+    got, want = spark.read.parquet(str(tmp_path / "a")), spark.read.parquet(str(tmp_path / "b")).where("seq >= 400")
+    assert rounded(got, got.columns) == rounded(want, got.columns) and got.count() == 100
+
+
 def test_trade_messages_decode_on_a_stream(spark, tmp_path):
     body = '{"s":"A","t":%d,"p":"1.5","q":"2","T":%d}'
     rows = [(bytearray(b"A"), bytearray((body % (i, i * 10)).encode()), i) for i in range(4)]
